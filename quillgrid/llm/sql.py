@@ -2,4 +2,25 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CLASS_WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SPACE_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {CLASS_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {CLASS_WORDS} AS w FROM benchmark),
+        i AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS x
+                FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+        sizes AS (SELECT DISTINCT k FROM win),
+        places AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS x
+                   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes)),
+        found AS (SELECT doc_id, p, places.k AS k, item_id FROM places JOIN win ON win.x = places.x AND win.k = places.k),
+        hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM found) GROUP BY 1),
+        ids AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s
+                FROM found GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+}
