@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,18 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed now, in the checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (a single machine, as in tests) a temporary one is made.
+    It is the one the cluster names in spark.checkpoint.dir; only where that is unset (a single
+    machine, as in tests) a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed now, as a checkpoint in the shared folder; for small rows read once or twice."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, computed now, as a table in the shared folder; for wide rows of which columns are read."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]
