@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontaminate, licenses, linededup, secrets, simhash, tokens
+from quillgrid.llm import decontaminate, licenses, linededup, quality, secrets, simhash, tokens
 from quillgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return found.select(
@@ -52,6 +56,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
