@@ -21,7 +21,7 @@ VERSION = r"(?: version| v)?"
 FAMILIES = (
     ("apache-2.0", "apache", rf"apache(?: software)?(?: license| licence)?{VERSION} ?(?:v2|2)(?: 0)?"),
     ("apache-1.1", "apache", rf"apache(?: software)?(?: license| licence)?{VERSION} 1 [01]"),
-    ("mit", "mit", r"mit(?: x11)?(?: license| licence)?"),
+    ("mit", "mit", r"mit(?: x11)?"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?"),
@@ -66,6 +66,8 @@ FAMILIES = (
     ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [234] [05])?(?: international)?"),
     ("cc-by", "creative commons", r"creative commons attribution(?: [234] [05])?(?: international)?"),
 )
+#: Families whose bare name is a word of everyday language; the weaker forms want "license" after it.
+EVERYDAY = {"mit"}
 # How a family is referred to: priority (less is better), words before and after the name, weight.
 FORMS = (
     (1, r"spdx licen[sc]e identifier ", r"", 1.0),
@@ -101,7 +103,12 @@ GATES = ("licen", "spdx", " cc by ", "cc0", "gpl", " mit ", "bsd", "apache", "cr
 
 def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, key word, regex, weight): every form of every family, and the notices."""
-    made = [(p, label, key, f" {before}{name}{after}(?= )", w) for label, key, name in FAMILIES for p, before, after, w in FORMS]
+    made = []
+    for label, key, name in FAMILIES:
+        for p, before, after, weight in FORMS:
+            if label in EVERYDAY and p > 2:
+                after = r" licen[sc]e"
+            made.append((p, label, key, f" {before}{name}{after}(?= )", weight))
     return made + [(p, label, key, f" {reading}(?= )", w) for p, label, key, reading, w in NOTICES]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontaminate, licenses, linededup, quality, secrets, simhash, tokens
+from quillgrid.llm import decontaminate, licenses, linededup, mixing, quality, secrets, simhash, tokens
 from quillgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), power=0.5, block_docs=16)
+    return found.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -61,4 +66,5 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_secret_scan": op9_secret_scan,
+    "op10_mixing": op10_mixing,
 }
