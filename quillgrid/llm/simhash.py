@@ -43,15 +43,18 @@ def fingerprint(text: bytes | None, width: int) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row; a null text counts as empty."""
+    """doc_id, content (a hash of the text) and fp (the fingerprint as a signed 64-bit number) of every row.
+
+    A null text counts as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, width) for t in as_bytes(batch.column("text"))), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(found)], ["doc_id", "content", "fp"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
+    return rows.mapInArrow(run, rows.select("doc_id", "content", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def ball(radius: int) -> list[int]:
@@ -101,12 +104,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable over links) of every row of docs.
+    """doc_id, content, fp, component_id (the least doc_id reachable over links) and root of every row of docs.
 
     Texts without a word share the fingerprint zero and are linked like any other; a null text
     counts as empty. Rows of one doc_id are fingerprinted one by one. A null doc_id keeps its row;
     it gives its component no id, so component_id is null where no member has one. Columns other
-    than doc_id and text are not read. An empty table gives an empty table.
+    than doc_id and text are not read. An empty table gives an empty table. root is a fingerprint that
+    names the component.
     """
     rows = cut(with_fingerprints(docs, width))
     # Copies meet here by partial aggregates; only distinct fingerprints go further.
@@ -114,8 +118,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     roots = components(linked_pairs(prints.select("fp"), radius))
     of_print = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = of_print.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of_print.join(of_root, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = of_print.join(of_root, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "content", "fp", "component_id", "root")
 
 
 def hex_digits(fp: str = "fp"):
@@ -123,16 +127,20 @@ def hex_digits(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay when one document of each group of near duplicates does.
+    """The rows of docs that stay when one document of each group of near duplicates does, with their columns.
 
-    The one of least doc_id stays; of rows that share it, the one of the least content hash, and of
-    identical rows one. Rows whose component has no doc_id at all stay once per fingerprint.
+    The one of least doc_id stays (null last); of rows that share it, the one of least content hash,
+    and of rows that share that as well one.
     """
     found = near_duplicates(docs, width, radius)
-    leaders = found.where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(leaders, "doc_id", "left_semi")
-    repeated = stay.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("doc_id")
-    once = stay.join(repeated, "doc_id", "left_anti")
-    several = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    orphans = docs.where("doc_id is null").dropDuplicates(["text"])
-    return once.unionByName(several).unionByName(orphans)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    winners = found.groupBy("root").agg(F.min(place).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.content").alias("content"))
+    sizes = found.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
+    same = winners["doc_id"].eqNullSafe(sizes["doc_id"]) & (winners["content"] == sizes["content"])
+    winners = cut(winners.join(sizes, same).select(winners["doc_id"].alias("_won_id"), winners["content"].alias("_won_content"), "n"))
+    won = docs["doc_id"].eqNullSafe(F.col("_won_id")) & (F.xxhash64(docs["text"]) == F.col("_won_content"))
+    stay = docs.join(winners.where("n = 1").drop("n"), won, "left_semi")
+    repeated = winners.where("n > 1").drop("n")
+    if repeated.isEmpty():
+        return stay
+    return stay.unionByName(docs.join(repeated, won, "left_semi").dropDuplicates(["doc_id", "text"]))
