@@ -51,7 +51,6 @@ def repeat_words(words: Column, width: int = 3) -> Column:
     Windows are compared by 64-bit hashes within one text. Sorted by hash, then place, equal ones are
     neighbours; the places of those, in order, each add what they don't share with the place before.
     """
-    n = F.size(words) - width + 1
 
     def places(ordered: Column) -> Column:
         def twin(x: Column, i: Column) -> Column:
@@ -61,13 +60,15 @@ def repeat_words(words: Column, width: int = 3) -> Column:
 
         return F.transform(F.filter(ordered, twin), lambda x: x["i"])
 
-    hashed = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*(F.get(words, i + k) for k in range(width))).alias("h"), i.alias("i"))
-    )
-    at = F.array_sort(let(F.array_sort(hashed), places))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
-    total = F.aggregate(at, start, lambda s, i: F.struct((s["n"] + F.least(F.lit(width), i - s["last"])).alias("n"), i.alias("last")))["n"]
-    return F.when(n >= 2, total).otherwise(0)
+    def count(w: Column) -> Column:
+        n = F.size(w) - width + 1
+        hashed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(width))).alias("h"), i.alias("i")))
+        at = F.array_sort(let(F.array_sort(hashed), places))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
+        total = F.aggregate(at, start, lambda s, i: F.struct((s["n"] + F.least(F.lit(width), i - s["last"])).alias("n"), i.alias("last")))["n"]
+        return F.when(n >= 2, total).otherwise(0)
+
+    return let(words, count)
 
 
 def base_failed(prefix: str = "q_", least_words: int = 50, most_percent: int = 50) -> Column:
@@ -225,6 +226,8 @@ def keep_good(docs: DataFrame, cutoff: float = 36.0, least_words: int = 50, most
         back = {v: k for k, v in hidden.items()}
         return keep_good(docs.withColumnsRenamed(hidden), cutoff, least_words, most_percent).withColumnsRenamed(back).select(docs.columns)
     rows = with_counts(docs).withColumns({"q_failed": base_failed("q_", least_words, most_percent), **group_keys(), **vector()})
-    few = cut(rows.where(~F.col("q_failed")).select("q_key", "q_lang", *(f"q_v_{name}" for name in NAMES)))
-    model, small = estimates(few)
-    return joined(rows.where(~F.col("q_failed")), model, small).where(verdict(cutoff)).select(docs.columns)
+    # Filters wait until the counts are made; pushed below them, they would be made twice.
+    few = cut(rows.select("q_failed", "q_key", "q_lang", *(f"q_v_{name}" for name in NAMES)))
+    model, small = estimates(few.where(~F.col("q_failed")))
+    stays = F.when(F.col("q_failed"), F.lit(False)).otherwise(verdict(cutoff))
+    return joined(rows, model, small).where(stays).select(docs.columns)
