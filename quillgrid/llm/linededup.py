@@ -3,8 +3,11 @@
 Equal lines meet in a grouping that aggregates before its shuffle. Of each distinct line the first place
 goes on. Its distinct tokens are ordered by rarity; two lines of Jaccard similarity t or more share one
 of their first n - ceil(t n) + 1 tokens, so only that prefix is posted. Postings of one token are paired
-under the length and positional filters; pairs that pass are verified on the whole token sets. A line
-goes when an earlier line is equal or similar enough.
+under the length and positional filters. How many prefix tokens a pair shares bounds its overlap, which
+leaves few false pairs; those left are verified on the whole token sets. A line goes when an earlier line
+is equal or similar enough. Large groups of similar lines are thinned before the join: each line is first
+compared with the lines that come first in the lists of its tokens, and only lines not found to go by that are
+paired with all earlier ones.
 
 Rarity comes from token counts over all documents. A token's 64-bit hash is relabelled by the rank of its
 top 16 bits among 65,536 counted classes; the relabelling is one to one, so comparing relabelled hashes
@@ -16,58 +19,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import ASCII_LOWER, ASCII_UPPER, SPACE_RUN, cut, free_name, written
+from quillgrid.llm.common import SPACE_RUN, cut, free_name, let, written
 
 CLASS_BITS = 16
 LOW_BITS = 64 - CLASS_BITS
 #: The place of a row whose doc_id is null: after all others.
 LAST = (1 << 63) - 1
+#: Lines to verify (24 bytes each) up to this many are sent to every executor; beyond it texts are shuffled.
+BROADCAST_LINES = 1_000_000
 
 
-def raw_words(text: Column) -> Column:
-    """Lower-case words that white space separates, perhaps with an empty one at either end."""
-    return F.split(F.translate(text, ASCII_UPPER, ASCII_LOWER), SPACE_RUN)
+def words_of(text: Column) -> Column:
+    """Lower-case words that white space separates; one empty word where there is none."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACE_RUN)
 
 
-def class_ranks(docs: DataFrame) -> list[int]:
-    """For each class of token hashes, its rank by how often its tokens occur, the rarest first."""
+def class_masks(docs: DataFrame) -> list[int]:
+    """For each class of token hashes, what turns its top bits into its rank by how often its tokens occur.
+
+    The rarest class ranks first in the order of signed numbers.
+    """
     counted = (
-        docs.select(F.explode(raw_words(F.col("text"))).alias("w"))
-        .where("w <> ''")
+        docs.select(F.explode_outer(words_of(F.col("text"))).alias("w"))
+        .where("w is not null")
         .groupBy(F.shiftrightunsigned(F.xxhash64("w"), LOW_BITS).cast("int").alias("class"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     counts = {r["class"]: r["n"] for r in counted.collect()}  # 65,536 rows at most
-    order = sorted(range(1 << CLASS_BITS), key=lambda c: (counts.get(c, 0), c))
-    ranks = [0] * (1 << CLASS_BITS)
-    for rank, c in enumerate(order):
-        ranks[c] = rank - (1 << (CLASS_BITS - 1))  # signed, as hashes are
-    return ranks
+    half, masks = 1 << (CLASS_BITS - 1), [0] * (1 << CLASS_BITS)
+    for rank, c in enumerate(sorted(range(1 << CLASS_BITS), key=lambda c: (counts.get(c, 0), c))):
+        top = (rank ^ half) ^ c
+        masks[c] = (top - (1 << CLASS_BITS) if top >= half else top) << LOW_BITS
+    return masks
 
 
-def token_set(line: Column, ranks: Column) -> Column:
+def token_set(line: Column, masks: Column) -> Column:
     """The distinct tokens of a line as relabelled hashes, the rarest first."""
-    hashes = F.array_distinct(F.transform(F.filter(raw_words(line), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    low = (1 << LOW_BITS) - 1
+    hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.get(masks, F.shiftrightunsigned(h, LOW_BITS).cast("int")))))
+
+
+def literal(masks: list[int]) -> Column:
+    return F.from_json(F.lit("[" + ",".join(map(str, masks)) + "]"), "array<bigint>")
 
-    def relabel(h: Column) -> Column:
-        rank = F.get(ranks, F.shiftrightunsigned(h, LOW_BITS).cast("int"))
-        return F.shiftleft(rank.cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
-    return F.sort_array(F.transform(hashes, relabel))
+PLACE = ["ord", "line_no", "hash"]
+
 
+def exploded(docs: DataFrame, hashed: bool) -> DataFrame:
+    """ord (the document's place), line_no, hash and line of every line of every row.
 
-def ranks_literal(ranks: list[int]) -> Column:
-    return F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<int>")
+    hash tells apart lines at one place, which only rows of one doc_id have; it is 0 where there are none.
+    """
+    # The outer form, as Spark would split twice to filter empty arrays before the plain one.
+    lines = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where("line is not null").select("ord", "line_no", line_hash(F.col("line"), hashed).alias("hash"), "line")
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """ord (the document's place), line_no, line and hash of every line of every row."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("hash", F.xxhash64("line"))
+def line_hash(line: Column, hashed: bool) -> Column:
+    return F.xxhash64(line) if hashed else F.lit(0).cast("long")
 
 
-PLACE = ["ord", "line_no", "hash"]
+def repeats_ids(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def place(side: str = "") -> Column:
@@ -83,53 +97,100 @@ def needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
 
-def candidates(firsts: DataFrame, percent: int) -> DataFrame:
-    """Pairs a_, b_ of places, a the earlier, of the distinct lines that pass the filters."""
-    postings = firsts.select(*PLACE, "n", F.posexplode("prefix").alias("at", "token"))
-    a, b = postings.alias("a"), postings.alias("b")
+def postings_of(firsts: DataFrame) -> DataFrame:
+    """ord, line_no, hash, n, at and token (32 bits of it) of each prefix token."""
+    return firsts.select(*PLACE, "n", F.posexplode_outer("prefix").alias("at", "token")).withColumn("token", F.col("token").bitwiseAND(0x7FFFFFFF).cast("int"))
+
+
+def enough(percent: int) -> Column:
+    """Whether k shared prefix tokens leave room for the similarity.
+
+    Of two prefixes, all tokens of the one that ends first (in the order of rarity) have been compared
+    with the other, so a pair shares at most k and what that one has beyond its prefix.
+    """
+    beyond = F.greatest(*(F.col(c) - prefix_size(F.col(c), percent) for c in ("a_n", "b_n")))
+    return F.col("k") + beyond >= needed(F.col("a_n"), F.col("b_n"), percent)
+
+
+def pairs_to_first(firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs a_, b_: each line b with the lines a that come first in the lists of its tokens, where they share enough of them.
+
+    Of a group of copies with small changes most are met here, each a few times. What this misses is
+    left to candidates.
+    """
+    postings = postings_of(firsts)
+    heads = postings.groupBy("token").agg(F.min(F.struct(*PLACE, "n")).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "a")
+    first = F.struct(*(F.col(f"a.{c}").alias(c) for c in PLACE))
+    met = postings.join(heads, "token").where(first < place())
+    met = met.select(*(F.col(f"a.{c}").alias(f"a_{c}") for c in [*PLACE, "n"]), *(F.col(c).alias(f"b_{c}") for c in [*PLACE, "n"]))
+    met = met.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    return met.groupBy(met.columns).agg(F.count(F.lit(1)).alias("k")).where(enough(percent)).drop("a_n", "b_n", "k")
+
+
+def candidates(all_lines: DataFrame, asking: DataFrame, percent: int) -> DataFrame:
+    """Pairs a_, b_ of places, a the earlier and b one of those asking, that pass the filters.
+
+    The join is on 32 bits of a token; a chance meeting can only let a pair pass.
+    """
+    asked = postings_of(asking).alias("b")
+    a = postings_of(all_lines).alias("a")
+    shared = needed(F.col("a.n"), F.col("b.n"), percent)
     alike = (
         (F.col("a.token") == F.col("b.token"))
         & (place("a.") < place("b."))
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= needed(F.col("a.n"), F.col("b.n"), percent))
+        & (F.least("a.at", "b.at") + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= shared)
     )
-    return a.join(b, alike).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in PLACE)).distinct()
+    met = a.join(asked, alike).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in [*PLACE, "n"]))
+    return met.groupBy(met.columns).agg(F.count(F.lit(1)).alias("k")).where(enough(percent)).drop("a_n", "b_n", "k")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, hashed: bool, masks: Column, percent: int) -> DataFrame:
+    """The places b of pairs whose whole token sets are similar enough; the sets come once more from the documents."""
+    pairs = cut(pairs)
+    asked = cut(pairs.select(place("a_").alias("p")).unionByName(pairs.select(place("b_").alias("p"))).distinct().select("p.*"))
+    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_LINES else asked
+    found = exploded(docs, hashed).join(wanted, PLACE, "left_semi")
+    if hashed:
+        found = found.dropDuplicates(PLACE)
+    found = written(found.select(*PLACE, token_set(F.col("line"), masks).alias("tokens")))
+    left, right = (found.select(*(F.col(c).alias(f"{s}_{c}") for c in [*PLACE, "tokens"])) for s in "ab")
+    both = pairs.join(left, [f"a_{c}" for c in PLACE]).join(right, [f"b_{c}" for c in PLACE])
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    similar = (100 + percent) * common >= percent * (F.size("a_tokens") + F.size("b_tokens"))
+    return both.where(similar).select(*(F.col(f"b_{c}").alias(c) for c in PLACE)).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, hashed: bool, percent: int = 80, min_tokens: int = 5) -> DataFrame:
     """ord, line_no and hash of every line that an earlier one matches.
 
     A line of fewer than min_tokens distinct tokens is short: it stays wherever it stands and matches
     nothing. Of the others a line goes if an earlier line (by doc_id, null last, then by line) has a
     token set of similarity percent / 100 or more, whether that one goes itself or not; equal lines
     are the plain case. Equal lines at one place of rows of one doc_id are one line.
+
+    As one earlier match is enough, a line that has been found to go isn't asked about again; it still
+    counts as an earlier line for others.
     """
     docs = docs.select("doc_id", "text")
-    ranks = ranks_literal(class_ranks(docs))
-    n = F.size("tokens")
-    lines = exploded(docs).select(*PLACE, F.xxhash64(F.lit(1), "line").alias("hash2"), token_set(F.col("line"), ranks).alias("tokens"))
-    lines = written(
-        lines.where(n >= min_tokens).select(*PLACE, "hash2", n.alias("n"), F.slice("tokens", 1, prefix_size(n, percent)).alias("prefix"))
-    )
+    masks = literal(class_masks(docs))
+    whole = [F.xxhash64("line").alias("same1"), F.xxhash64(F.lit(1), "line").alias("same2")]
+
+    def posted(tokens: Column) -> Column:
+        n = F.size(tokens)
+        return F.when(n >= min_tokens, F.struct(n.alias("n"), F.slice(tokens, 1, prefix_size(n, percent)).alias("prefix")))
+
+    # One array of at most one: a filter on the set would make the set twice.
+    long_enough = F.explode_outer(F.array(let(token_set(F.col("line"), masks), posted))).alias("set")
+    lines = written(exploded(docs, hashed).select(*PLACE, *whole, long_enough).where("set is not null").select(*PLACE, "same1", "same2", "set.n", "set.prefix"))
     # Equal lines (by 128 bits) meet here, after each task has reduced its own.
-    firsts = lines.groupBy("hash", "hash2").agg(F.min(F.struct("ord", "line_no", "n", "prefix")).alias("f")).select("f.ord", "f.line_no", "hash", "f.n", "f.prefix")
-    pairs = cut(candidates(firsts, percent))
-    # The whole sets of the lines in question, once more from the documents.
-    asked = pairs.select(*(F.col(f"a_{c}").alias(c) for c in PLACE)).unionByName(pairs.select(*(F.col(f"b_{c}").alias(c) for c in PLACE))).distinct()
-    found = exploded(docs).join(asked, PLACE, "left_semi").dropDuplicates(PLACE)
-    found = written(found.select(*PLACE, token_set(F.col("line"), ranks).alias("tokens")))
-    left, right = (found.select(*(F.col(c).alias(f"{s}_{c}") for c in [*PLACE, "tokens"])) for s in "ab")
-    both = pairs.join(left, [f"a_{c}" for c in PLACE]).join(right, [f"b_{c}" for c in PLACE])
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    similar = (100 + percent) * common >= percent * (F.size("a_tokens") + F.size("b_tokens"))
-    gone = both.where(similar).select(*(F.col(f"b_{c}").alias(c) for c in PLACE)).distinct()
+    firsts = lines.groupBy("same1", "same2").agg(F.min(F.struct(*PLACE, "n", "prefix")).alias("f")).select("f.*")
+    firsts = written(firsts)
+    gone = cut(verified(pairs_to_first(firsts, percent), docs, hashed, masks, percent))
+    undecided = firsts.join(gone, PLACE, "left_anti")
+    gone = gone.unionByName(verified(candidates(firsts, undecided, percent), docs, hashed, masks, percent))
     # What stays: the first of equal lines, if it has no similar one before it.
-    shift = F.lit(1 << 31).cast("decimal(11,0)")
-    packed = (F.col("ord").cast("decimal(20,0)") * shift + F.col("line_no")).cast("decimal(32,0)")
-    least = lines.groupBy("hash", "hash2").agg(F.min(packed).alias("p"))
-    line_no = F.pmod(F.col("p"), shift)
-    stay = least.select(((F.col("p") - line_no) / shift).cast("long").alias("ord"), line_no.cast("int").alias("line_no"), "hash")
-    stay = stay.join(gone, PLACE, "left_anti")
+    stay = firsts.select(*PLACE).join(gone, PLACE, "left_anti")
     return lines.select(*PLACE).join(stay, PLACE, "left_anti")
 
 
@@ -143,7 +204,7 @@ def report(docs: DataFrame, percent: int = 80, min_tokens: int = 5) -> DataFrame
 
     A null text has no lines, an empty one has one. Rows of one doc_id list their removed lines together.
     """
-    gone = by_document(removed_lines(docs, percent, min_tokens)).withColumnRenamed("ord", "gone_ord")
+    gone = by_document(removed_lines(docs, repeats_ids(docs), percent, min_tokens)).withColumnRenamed("ord", "gone_ord")
     rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.join(gone, F.coalesce("doc_id", F.lit(LAST)) == F.col("gone_ord"), "left")
     numbers = F.array_distinct(F.transform("removed", lambda r: r["line_no"]))
@@ -162,12 +223,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 5) -> Data
     null doc_id come last and are treated as one document. Other columns pass through unchanged;
     n_chars, where there is one, counts the new text. An empty table gives an empty table.
     """
-    gone = by_document(removed_lines(docs, percent, min_tokens))
+    hashed = repeats_ids(docs)
+    gone = by_document(removed_lines(docs, hashed, percent, min_tokens))
     key, found = free_name(docs, "gone_ord"), free_name(docs, "gone_lines")
     gone = gone.select(F.col("ord").alias(key), F.col("removed").alias(found))
     stays = F.filter(
         F.split(docs["text"], "\n"),
-        lambda line, i: ~F.array_contains(F.col(found), F.struct(i.alias("line_no"), F.xxhash64(line).alias("hash"))),
+        lambda line, i: ~F.array_contains(F.col(found), F.struct(i.alias("line_no"), line_hash(line, hashed).alias("hash"))),
     )
     text = F.when(F.col(found).isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))
     joined = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col(key), "left").withColumn("text", text).drop(key, found)
