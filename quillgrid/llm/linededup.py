@@ -45,7 +45,11 @@ def class_masks(docs: DataFrame) -> list[int]:
         .groupBy(F.shiftrightunsigned(F.xxhash64("w"), LOW_BITS).cast("int").alias("class"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = {r["class"]: r["n"] for r in counted.collect()}  # 65,536 rows at most
+    return ranked({r["class"]: r["n"] for r in counted.collect()})  # 65,536 rows at most
+
+
+def ranked(counts: dict[int, int]) -> list[int]:
+    """The masks that go with the counts of the classes."""
     half, masks = 1 << (CLASS_BITS - 1), [0] * (1 << CLASS_BITS)
     for rank, c in enumerate(sorted(range(1 << CLASS_BITS), key=lambda c: (counts.get(c, 0), c))):
         top = (rank ^ half) ^ c

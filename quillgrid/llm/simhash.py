@@ -132,7 +132,11 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
     The one of least doc_id stays (null last); of rows that share it, the one of least content hash,
     and of rows that share that as well one.
     """
-    found = near_duplicates(docs, width, radius)
+    return winners_of(docs, near_duplicates(docs, width, radius))
+
+
+def winners_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The one row of docs that stays for each root in found (doc_id, content and root of every row of docs)."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
     winners = found.groupBy("root").agg(F.min(place).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.content").alias("content"))
     sizes = found.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
