@@ -27,11 +27,12 @@ LOW_BITS = 64 - CLASS_BITS
 LAST = (1 << 63) - 1
 #: Lines to verify (24 bytes each) up to this many are sent to every executor; beyond it texts are shuffled.
 BROADCAST_LINES = 1_000_000
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
     """Lower-case words that white space separates; one empty word where there is none."""
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACE_RUN)
+    return F.split(F.btrim(F.lower(text), F.lit(WHITE)), SPACE_RUN)
 
 
 def class_masks(docs: DataFrame) -> list[int]:
@@ -165,10 +166,10 @@ def verified(pairs: DataFrame, docs: DataFrame, hashed: bool, masks: Column, per
     return both.where(similar).select(*(F.col(f"b_{c}").alias(c) for c in PLACE)).distinct()
 
 
-def removed_lines(docs: DataFrame, hashed: bool, percent: int = 80, min_tokens: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, hashed: bool, percent: int = 80, min_tokens: int = 1) -> DataFrame:
     """ord, line_no and hash of every line that an earlier one matches.
 
-    A line of fewer than min_tokens distinct tokens is short: it stays wherever it stands and matches
+    A blank line, and one of fewer than min_tokens distinct tokens, stays wherever it stands and matches
     nothing. Of the others a line goes if an earlier line (by doc_id, null last, then by line) has a
     token set of similarity percent / 100 or more, whether that one goes itself or not; equal lines
     are the plain case. Equal lines at one place of rows of one doc_id are one line.
@@ -178,11 +179,12 @@ def removed_lines(docs: DataFrame, hashed: bool, percent: int = 80, min_tokens:
     """
     docs = docs.select("doc_id", "text")
     masks = literal(class_masks(docs))
+    not_blank = F.btrim(F.col("line"), F.lit(WHITE)) != ""
     whole = [F.xxhash64("line").alias("same1"), F.xxhash64(F.lit(1), "line").alias("same2")]
 
     def posted(tokens: Column) -> Column:
         n = F.size(tokens)
-        return F.when(n >= min_tokens, F.struct(n.alias("n"), F.slice(tokens, 1, prefix_size(n, percent)).alias("prefix")))
+        return F.when(not_blank & (n >= min_tokens), F.struct(n.alias("n"), F.slice(tokens, 1, prefix_size(n, percent)).alias("prefix")))
 
     # One array of at most one: a filter on the set would make the set twice.
     long_enough = F.explode_outer(F.array(let(token_set(F.col("line"), masks), posted))).alias("set")

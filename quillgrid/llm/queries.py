@@ -19,7 +19,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents"), percent=80, min_tokens=5)
+    return linededup.report(table(spark, sf_dir, "documents"), percent=80, min_tokens=1)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
