@@ -1,30 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's documents are cut into blocks of equal numbers of documents. With a target weight w, the
-j-th block of a source is released at slot floor((j - 1) / w) and due by slot ceil(j / w). Earliest-
-deadline-first over the released blocks gives every slot a block, and at any slot a source has had its
-weight's share of the slots to within one block.
-
-Weights are whole numbers of slots in a period, so the schedule of one period, made once, serves all.
-When a source has no blocks left, the weights of the others are scaled up and a new phase begins; there
-are at most as many phases as sources. What the driver holds is a count for each source and one period
-for each phase, none of which grows with the number of documents.
+Each source's documents are cut into blocks of equal numbers of documents. A source's target at a slot is
+its exact share of the slots so far: weights over the sum of the weights of those that still have blocks,
+so the targets of the others rise at the moment at which a source's target has reached its blocks. Among
+the blocks whose release has come, the one of earliest deadline gets the slot. With m sources, block j
+(from 0) is released when the target reaches j + e and due when it reaches j + 1 - e, e = 1 / (2m - 2);
+then no source is ever a whole block off its target (Tijdeman, The chairman assignment problem, 1980).
+
+The schedule is made slot by slot and written in ranges of RANGE slots. What the driver holds is a few
+numbers for each source and one range, none of which grows with the number of documents; its time grows
+with the number of blocks.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut, free_name
+from quillgrid.llm.common import cut, free_name, shared_folder
 
-#: Slots in a period at most, which bounds the error of a weight to one in so many.
+#: Slots in a period of whole_weights, which the mix itself doesn't use.
 PERIOD = 2048
-#: Sources at most; each needs a slot of the period.
-MOST_SOURCES = 1024
+#: Slots that are written at once.
+RANGE = 1 << 17
+#: A schedule of up to this many slots is sent to every executor; beyond it rows are shuffled.
+BROADCAST_SLOTS = 1_000_000
 NO_SOURCE = "\x00none"
 
 
@@ -77,27 +86,38 @@ def pfair(slots: dict[str, int]) -> list[str]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[int, dict[str, int], dict[str, int], list[str]]]:
-    """(first slot, blocks had before, slots in a period, the period's order) of each phase."""
-    had = dict.fromkeys(blocks, 0)
-    first, out = 0, []
-    while left := {s: n - had[s] for s, n in blocks.items() if n > had[s]}:
-        slots = whole_weights({s: weights[s] for s in left}, max(PERIOD, len(left)))
-        common = math.gcd(*slots.values())
-        slots = {s: n // common for s, n in slots.items()}
-        order = pfair(slots)
-        places: dict[str, list[int]] = {s: [] for s in slots}
-        for t, s in enumerate(order):
-            places[s].append(t)
-        period = len(order)
-        # The slot at which each source has its last block; the phase ends with the first of those.
-        end = min((left[s] - 1) // slots[s] * period + places[s][(left[s] - 1) % slots[s]] for s in left) + 1
-        out.append((first, dict(had), slots, order))
-        for s in left:
-            whole, rest = divmod(end, period)
-            had[s] += whole * slots[s] + sum(p < rest for p in places[s])
-        first += end
-    return out
+def turns(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot in turn, less than one block off every source's exact target.
+
+    Level v is common to all sources: the target of one is its weight times v, and its blocks at most.
+    """
+    if not blocks:
+        return
+    names = sorted(blocks)
+    edge = 1 / (2 * max(2, len(names)) - 2)
+    waiting = [(edge / weights[s], k) for k, s in enumerate(names)]
+    heapq.heapify(waiting)
+    ready: list[tuple[float, int]] = []
+    done = [0] * len(names)
+    # The level at which each target ends, the slots gone by then, and the weight at work before.
+    ends = sorted((blocks[s] / weights[s], weights[s], blocks[s]) for s in names)
+    left = [0.0, *itertools.accumulate(w for _, w, _ in reversed(ends))]
+    ended = at = 0
+    for slot in range(1, sum(blocks.values()) + 1):
+        while True:
+            v = (slot - ended) / left[len(ends) - at]
+            if at == len(ends) - 1 or v <= ends[at][0]:
+                break
+            ended += ends[at][2]
+            at += 1
+        while waiting and (waiting[0][0] <= v or not ready):
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, ((done[k] + 1 - edge) / weights[names[k]], k))
+        k = heapq.heappop(ready)[1]
+        yield names[k], done[k]
+        done[k] += 1
+        if done[k] < blocks[names[k]]:
+            heapq.heappush(waiting, ((done[k] + edge) / weights[names[k]], k))
 
 
 def numbered(rows: DataFrame, counts: dict[str, int], per_piece: int) -> DataFrame:
@@ -124,21 +144,42 @@ def numbered(rows: DataFrame, counts: dict[str, int], per_piece: int) -> DataFra
     return rows.withColumn("m_number", (F.col("m_start") + F.col("m_own")).cast("long")).drop("m_piece", "m_own", "m_start", "m_order", "m_content")
 
 
-def plan(counts: dict[str, int], weights: dict[str, float] | None, power: float, block_docs: int) -> list[tuple]:
-    """A row for each source and phase: (source, first block, blocks, slots, period, first slot, places)."""
+@dataclass
+class Plan:
+    """The (source, block) of each slot, made anew by each iteration."""
+
+    parts: list[tuple[dict[str, int], dict[str, float]]]
+
+    def __iter__(self) -> Iterator[tuple[str, int]]:
+        for blocks, weights in self.parts:
+            yield from turns(blocks, weights)
+
+
+def plan(counts: dict[str, int], weights: dict[str, float] | None, power: float, block_docs: int) -> Plan:
+    """The sources that have a weight, then the others by equal weights."""
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     given = {s: n**power if weights is None else weights.get(s, 0.0) for s, n in counts.items()}
     wanted = {s: b for s, b in blocks.items() if given[s] > 0}
     others = {s: b for s, b in blocks.items() if given[s] <= 0}
-    first, out = 0, []
-    for part in (wanted, others):
-        made = phases(part, {s: given[s] or 1.0 for s in part})
-        for k, (start, had, slots, order) in enumerate(made):
-            after = made[k + 1][1] if k + 1 < len(made) else part
-            for s, n in slots.items():
-                out.append((s, had[s], after[s], n, len(order), first + start, [t for t, x in enumerate(order) if x == s]))
-        first += sum(part.values())
-    return out
+    return Plan([(part, {s: given[s] if given[s] > 0 else 1.0 for s in part}) for part in (wanted, others)])
+
+
+def slot_table(spark: SparkSession, made: Plan, counts: dict[str, int], block_docs: int) -> DataFrame:
+    """m_source, m_block, m_slot and m_first (the documents before the block) of each slot, written range by range."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    schema = "m_source string, m_block long, m_slot long, m_first long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    slots, first, slot = iter(made), 0, 0
+    while chunk := list(itertools.islice(slots, RANGE)):
+        firsts = []
+        for s, b in chunk:
+            firsts.append(first)
+            first += min(block_docs, counts[s] - b * block_docs)
+        columns = [pa.array([s for s, _ in chunk], pa.string()), pa.array([b for _, b in chunk], pa.int64()), pa.array(range(slot, slot + len(chunk)), pa.int64()), pa.array(firsts, pa.int64())]
+        spark.createDataFrame(pa.Table.from_arrays(columns, ["m_source", "m_block", "m_slot", "m_first"])).write.mode("append").parquet(path)
+        slot += len(chunk)
+    table = spark.read.schema(schema).parquet(path)
+    return F.broadcast(table) if slot <= BROADCAST_SLOTS else table
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_docs: int = 16, per_piece: int = 1024) -> DataFrame:
@@ -161,42 +202,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
             "m_content": F.xxhash64(docs["doc_id"], docs["text"]),
         }
     )
-    counted = rows.groupBy("m_source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    counted = rows.groupBy("m_source").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r.m_source: r.n for r in sorted(counted)}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-    made = plan(counts, weights, power, block_docs)
-    table = docs.sparkSession.createDataFrame(made, "p_source string, p_had long, p_end long, p_slots long, p_period long, p_first long, p_places array<int>")
-    # The last block of a source may lack documents; positions behind it move up by as many.
-    lacking = [(slot_of(made, s, (n - 1) // block_docs), -n % block_docs) for s, n in counts.items()]
-    lacking = [x for x in lacking if x[1]]
+    table = slot_table(docs.sparkSession, plan(counts, weights, power, block_docs), counts, block_docs)
     rows = numbered(rows, counts, per_piece).withColumn("m_block", F.floor(F.col("m_number") / block_docs).cast("long"))
-    block = F.col("m_block")
-    here = (F.col("m_source") == F.col("p_source")) & (block >= F.col("p_had")) & (block < F.col("p_end"))
-    rows = rows.join(F.broadcast(table), here)
-    since = block - F.col("p_had")
-    slot = F.col("p_first") + F.floor(since / F.col("p_slots")) * F.col("p_period") + F.get("p_places", F.pmod(since, F.col("p_slots")).cast("int"))
-    rows = rows.withColumn("m_slot", slot.cast("long"))
-    moved = F.lit(0).cast("long")
-    if lacking:
-        gaps = F.array(*(F.struct(F.lit(s).cast("long").alias("slot"), F.lit(n).cast("long").alias("n")) for s, n in lacking))
-        moved = F.aggregate(gaps, F.lit(0).cast("long"), lambda total, g: total + F.when(g["slot"] < F.col("m_slot"), g["n"]).otherwise(F.lit(0)))
+    rows = rows.join(table, ["m_source", "m_block"])
     back = {v: k for k, v in hidden.items()}
     return rows.select(
         *(F.col(f"`{hidden.get(c, c)}`").alias(back.get(c, c)) for c in names),
         F.when(F.col("m_source") != NO_SOURCE, F.col("m_source")).alias("mix_source"),
-        block.alias("mix_block"),
+        F.col("m_block").alias("mix_block"),
         F.col("m_slot").alias("mix_slot"),
-        (F.col("m_slot") * block_docs + F.pmod(F.col("m_number"), F.lit(block_docs)) - moved).cast("long").alias("mix_position"),
+        (F.col("m_first") + F.pmod(F.col("m_number"), F.lit(block_docs))).cast("long").alias("mix_position"),
     )
 
 
 ADDED = ("mix_source", "mix_block", "mix_slot", "mix_position")
 
 
-def slot_of(made: list[tuple], source: str, block: int) -> int:
-    for s, had, end, slots, period, first, places in made:
-        if s == source and had <= block < end:
-            whole, rest = divmod(block - had, slots)
-            return first + whole * period + places[rest]
+def slot_of(made: Plan, source: str, block: int) -> int:
+    for slot, x in enumerate(made):
+        if x == (source, block):
+            return slot
     raise KeyError((source, block))
