@@ -39,6 +39,8 @@ BOILER_NAMES = re.compile(
     r"subscription|signup|login|register|search|form|related|recommend\w*|recommended|more|popular|trending|widget|widgets|tags|pagination|pager|toolbar|skip|hidden|print)$"
 )
 NOT_NAMES = {"has", "with", "no", "without", "is", "not"}
+#: A name with one of these says how a page is laid out, as in content-sidebar-wrap or layout-sidebar-right.
+LAYOUT_NAMES = {"wrap", "wrapper", "wrapped", "layout", "left", "right"}
 CONTENT_NAMES = re.compile(r"^(?:article|articlebody|content|contents|entry|post|story|main|maintext|bodytext|text|prose|body)$")
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
@@ -46,15 +48,18 @@ WHITE = re.compile(r"\s+")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’)\]]*(?:\s|$)")
 
 ADJACENT, SIBLING = 0.6, 0.9  # weights of the smoothness edges
+NAME_COST, FADE = 5.0, 0.15  # what a name of boilerplate costs, and the part of it that each element further inside leaves
+BY_NAME = -2  # the mark of an element whose name only says boilerplate
 
 
 @dataclass
 class Container:
     tag: str
     parent: Container | None
-    mark: int = 0  # 1: content by its name or element, -1: boilerplate, 0: says nothing
+    mark: int = 0  # 2: content by its element or role, 1: by its name, -1: boilerplate, BY_NAME: the same by its name only, 0: says nothing
     inside_content: bool = False
-    boiler: bool = False  # it or something around it is boilerplate
+    boiler: bool = False  # it or something around it is boilerplate by its element, its role or as it is hidden
+    name_cost: float = 0.0  # what names of boilerplate on it or around it cost
 
 
 @dataclass
@@ -71,7 +76,7 @@ def names_of(attributes: dict[str, str]) -> list[str]:
 
 
 def mark_of(tag: str, raw: str) -> int:
-    """What an element says about its content; boilerplate outweighs."""
+    """What an element says about its content; boilerplate outweighs. 2: an element or role for content says so."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw else {}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
         return -1
@@ -79,15 +84,17 @@ def mark_of(tag: str, raw: str) -> int:
         return -1
     if tag in ("html", "body"):
         return 0
-    content = tag in CONTENT_TAGS or found.get("role", "").lower() in ("main", "article")
+    content, named = tag in CONTENT_TAGS or found.get("role", "").lower() in ("main", "article"), False
     for name in names_of(found):
         parts = [p.lower() for p in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if p]
         if parts and parts[0] in NOT_NAMES:
             continue
+        if LAYOUT_NAMES.intersection(parts):
+            continue
         if any(BOILER_NAMES.match(p) for p in parts):
-            return -1
-        content = content or any(CONTENT_NAMES.match(p) for p in parts)
-    return int(content)
+            return BY_NAME
+        named = named or any(CONTENT_NAMES.match(p) for p in parts)
+    return 2 if content else int(named)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -176,7 +183,10 @@ def blocks_of(page: str) -> list[Block]:
             own = mark_of(tag, m[3])
             if tag == "header" and up.inside_content and own == -1:
                 own = 0  # an article's own header holds its title
-            made = Container(tag, up, own, up.inside_content or own == 1, up.boiler or own == -1)
+            # A nested main or article starts anew; other names only fade the further inside a block is.
+            by_name = NAME_COST if own == BY_NAME else 0.0 if own == 2 else up.name_cost * FADE
+            inside = own != BY_NAME and (own == 2 or up.inside_content or (own == 1 and not up.name_cost))
+            made = Container(tag, up, own, inside, up.boiler or own == -1, by_name)
             stack.append(made)
         flush(tag)
     flush("#")
@@ -186,7 +196,7 @@ def blocks_of(page: str) -> list[Block]:
 def score(block: Block, page_has_content: bool) -> float:
     """Log-odds that a block is content, from weights set by hand."""
     text, where = block.text, block.where
-    s = -0.4
+    s = -0.4 - where.name_cost
     if where.boiler:
         s -= 7.0
     elif where.inside_content:
