@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "value")
 #: Contexts whose values are judged by guess cost; wider than the contract's.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|(?:access|auth|bearer|refresh)?[_-]?token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer|authorization)"""
-    r"""["']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+(?:is|was)\x20+|\x20+)["']?([^\s"'<>,;]{6,})""",
+    r"""["']?(?:\x20*(=>|:=|[:=])\x20*|\x20+(?:is|was)\x20+|\x20+)["']?([^\s"'<>,;]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer", "authorization")
@@ -118,9 +118,11 @@ def spans(text: str, least_cost: float = 10.0) -> tuple[list[tuple[int, int, str
     if any(h in low for h in HINTS):
         found = sorted(base)
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".)!?")
-            if len(value) >= 6 and (any(c.isdigit() for c in value) or value.lower() != value) and guess_cost(value) >= least_cost:
-                start = m.start(1)
+            value = m[2].rstrip(".)!?")
+            # Where no sign separates them, as in prose, a value of small letters alone is a word like any other.
+            likely = m[1] is not None or any(c.isdigit() for c in value) or value.lower() != value
+            if len(value) >= 6 and likely and guess_cost(value) >= least_cost:
+                start = m.start(2)
                 if not any(a <= start and start + len(value) <= b for a, b, _ in found):
                     added.append((start, start + len(value), "value"))
     return base, added
