@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
+    """The checkpoint folder of the session, which the cluster names in spark.checkpoint.dir.
 
-    It is the one the cluster names in spark.checkpoint.dir; only where that is unset (a single
-    machine, as in tests) a temporary one is made.
+    Only a session within one machine (as in tests) gets a temporary one where that is unset; a cluster's
+    executors would not see it.
     """
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
     return context.getCheckpointDir()
 
@@ -46,6 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what written(), given back as df, has written; for when its last reader is done."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -1,17 +1,15 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-Equal lines meet in a grouping that aggregates before its shuffle. Of each distinct line the first place
-goes on. Its distinct tokens are ordered by rarity; two lines of Jaccard similarity t or more share one
-of their first n - ceil(t n) + 1 tokens, so only that prefix is posted. Postings of one token are paired
-under the length and positional filters. How many prefix tokens a pair shares bounds its overlap, which
-leaves few false pairs; those left are verified on the whole token sets. A line goes when an earlier line
-is equal or similar enough. Large groups of similar lines are thinned before the join: each line is first
-compared with the lines that come first in the lists of its tokens, and only lines not found to go by that are
-paired with all earlier ones.
-
-Rarity comes from token counts over all documents. A token's 64-bit hash is relabelled by the rank of its
-top 16 bits among 65,536 counted classes; the relabelling is one to one, so comparing relabelled hashes
-compares tokens, and what the driver sees of the counts has one size whatever the input.
+Each line is read once into the 32-bit hashes of its distinct tokens. Equal lines meet in a grouping that
+aggregates before its shuffle; of each distinct line the first place goes on. The join of setjoin.py
+then orders tokens by rarity and applies the prefix, length, positional and sketch filters; Jaccard is
+verified on the words themselves. A line goes when an earlier line is equal or similar enough.
+
+Groups of near copies are thinned before the join: each line is first compared with the first line of the
+same least or largest token hash, and what is found to go by that is no longer looked up, only listed.
+Of the candidates of a line the likeliest is verified first, the others only where that one fails.
+
+What is written for later steps is deleted once its last reader is done, but for what the result reads.
 """
 
 from __future__ import annotations
@@ -19,226 +17,146 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import SPACE_RUN, cut, free_name, let, written
+from quillgrid.llm import setjoin
+from quillgrid.llm.common import cut, forget, free_name, written
 
-CLASS_BITS = 16
-LOW_BITS = 64 - CLASS_BITS
-#: The place of a row whose doc_id is null: after all others.
-LAST = (1 << 63) - 1
-#: Lines to verify (24 bytes each) up to this many are sent to every executor; beyond it texts are shuffled.
-BROADCAST_LINES = 1_000_000
 WHITE = " \t\n\x0b\x0c\r"
+#: Rows with removed lines, and removed lines, up to this many are sent to every executor; beyond it texts are shuffled.
+BROADCAST_LINES = 1_000_000
+#: A row: whether its doc_id is null, the doc_id, and a hash of the text for rows that share a doc_id or have none.
+ROW = ["late", "ord", "body"]
+#: The order of lines.
+PLACE = [*ROW, "line_no"]
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words that white space separates; one empty word where there is none."""
-    return F.split(F.btrim(F.lower(text), F.lit(WHITE)), SPACE_RUN)
-
-
-def class_masks(docs: DataFrame) -> list[int]:
-    """For each class of token hashes, what turns its top bits into its rank by how often its tokens occur.
-
-    The rarest class ranks first in the order of signed numbers.
-    """
-    counted = (
-        docs.select(F.explode_outer(words_of(F.col("text"))).alias("w"))
-        .where("w is not null")
-        .groupBy(F.shiftrightunsigned(F.xxhash64("w"), LOW_BITS).cast("int").alias("class"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return ranked({r["class"]: r["n"] for r in counted.collect()})  # 65,536 rows at most
-
-
-def ranked(counts: dict[int, int]) -> list[int]:
-    """The masks that go with the counts of the classes."""
-    half, masks = 1 << (CLASS_BITS - 1), [0] * (1 << CLASS_BITS)
-    for rank, c in enumerate(sorted(range(1 << CLASS_BITS), key=lambda c: (counts.get(c, 0), c))):
-        top = (rank ^ half) ^ c
-        masks[c] = (top - (1 << CLASS_BITS) if top >= half else top) << LOW_BITS
-    return masks
-
-
-def token_set(line: Column, masks: Column) -> Column:
-    """The distinct tokens of a line as relabelled hashes, the rarest first."""
-    hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.get(masks, F.shiftrightunsigned(h, LOW_BITS).cast("int")))))
-
-
-def literal(masks: list[int]) -> Column:
-    return F.from_json(F.lit("[" + ",".join(map(str, masks)) + "]"), "array<bigint>")
-
-
-PLACE = ["ord", "line_no", "hash"]
-
+def row_of(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"].isNull(), F.coalesce(docs["doc_id"], F.lit(0)).cast("long"), F.xxhash64(docs["text"])]
 
-def exploded(docs: DataFrame, hashed: bool) -> DataFrame:
-    """ord (the document's place), line_no, hash and line of every line of every row.
 
-    hash tells apart lines at one place, which only rows of one doc_id have; it is 0 where there are none.
-    """
+def exploded(docs: DataFrame) -> DataFrame:
+    """The columns of PLACE, odd (whether the text has white space other than blanks and line feeds) and line of every line."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | docs["text"].contains(c)
+    rows = docs.select(*(x.alias(c) for x, c in zip(row_of(docs), ROW, strict=True)), odd.alias("odd"), "text")
     # The outer form, as Spark would split twice to filter empty arrays before the plain one.
-    lines = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where("line is not null").select("ord", "line_no", line_hash(F.col("line"), hashed).alias("hash"), "line")
-
-
-def line_hash(line: Column, hashed: bool) -> Column:
-    return F.xxhash64(line) if hashed else F.lit(0).cast("long")
-
-
-def repeats_ids(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    lines = rows.select(*ROW, "odd", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where("line is not null")
 
 
-def place(side: str = "") -> Column:
-    return F.struct(*(F.col(f"{side}{c}").alias(c) for c in PLACE))
+def words_of(lines: DataFrame) -> Column:
+    """The distinct lower-case words of a line."""
+    plain = F.when(lines["odd"], F.translate(lines["line"], "\t\x0b\x0c\r", "    ")).otherwise(lines["line"])
+    return F.array_remove(F.array_distinct(F.split(F.lower(plain), " ")), "")
 
 
-def prefix_size(n: Column, percent: int) -> Column:
-    return (n - F.ceil(percent * n / 100) + 1).cast("int")
+def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """The lids b of pairs a, b of lids whose words (lid, words) are similar enough."""
+    left, right = (words.select(F.col("lid").alias(c), F.col("words").alias(f"{c}_words")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("a_words", "b_words"))
+    similar = (100 + percent) * common >= percent * (F.size("a_words") + F.size("b_words"))
+    return both.where(similar).select(F.col("b").alias("lid")).distinct()
 
 
-def needed(n: Column, m: Column, percent: int) -> Column:
-    """How many tokens two sets of n and m must share for a similarity of percent / 100 or more."""
-    return F.ceil(percent * (n + m) / (100 + percent))
+def words_asked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """lid and words of all lines of pairs a, b (structs of lid and place), once more from the documents."""
+    asked = setjoin.few(cut(pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()))
+    found = exploded(docs).join(asked, PLACE)
+    found = found.select("lid", words_of(found).alias("words"))
+    return written(found.groupBy("lid").agg(F.first("words").alias("words")))  # rows may repeat
 
 
-def postings_of(firsts: DataFrame) -> DataFrame:
-    """ord, line_no, hash, n, at and token (32 bits of it) of each prefix token."""
-    return firsts.select(*PLACE, "n", F.posexplode_outer("prefix").alias("at", "token")).withColumn("token", F.col("token").bitwiseAND(0x7FFFFFFF).cast("int"))
-
-
-def enough(percent: int) -> Column:
-    """Whether k shared prefix tokens leave room for the similarity.
-
-    Of two prefixes, all tokens of the one that ends first (in the order of rarity) have been compared
-    with the other, so a pair shares at most k and what that one has beyond its prefix.
-    """
-    beyond = F.greatest(*(F.col(c) - prefix_size(F.col(c), percent) for c in ("a_n", "b_n")))
-    return F.col("k") + beyond >= needed(F.col("a_n"), F.col("b_n"), percent)
-
-
-def pairs_to_first(firsts: DataFrame, percent: int) -> DataFrame:
-    """Pairs a_, b_: each line b with the lines a that come first in the lists of its tokens, where they share enough of them.
-
-    Of a group of copies with small changes most are met here, each a few times. What this misses is
-    left to candidates.
-    """
-    postings = postings_of(firsts)
-    heads = postings.groupBy("token").agg(F.min(F.struct(*PLACE, "n")).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "a")
-    first = F.struct(*(F.col(f"a.{c}").alias(c) for c in PLACE))
-    met = postings.join(heads, "token").where(first < place())
-    met = met.select(*(F.col(f"a.{c}").alias(f"a_{c}") for c in [*PLACE, "n"]), *(F.col(c).alias(f"b_{c}") for c in [*PLACE, "n"]))
-    met = met.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return met.groupBy(met.columns).agg(F.count(F.lit(1)).alias("k")).where(enough(percent)).drop("a_n", "b_n", "k")
-
-
-def candidates(all_lines: DataFrame, asking: DataFrame, percent: int) -> DataFrame:
-    """Pairs a_, b_ of places, a the earlier and b one of those asking, that pass the filters.
-
-    The join is on 32 bits of a token; a chance meeting can only let a pair pass.
-    """
-    asked = postings_of(asking).alias("b")
-    a = postings_of(all_lines).alias("a")
-    shared = needed(F.col("a.n"), F.col("b.n"), percent)
-    alike = (
-        (F.col("a.token") == F.col("b.token"))
-        & (place("a.") < place("b."))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        & (F.least("a.at", "b.at") + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= shared)
-    )
-    met = a.join(asked, alike).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in [*PLACE, "n"]))
-    return met.groupBy(met.columns).agg(F.count(F.lit(1)).alias("k")).where(enough(percent)).drop("a_n", "b_n", "k")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, hashed: bool, masks: Column, percent: int) -> DataFrame:
-    """The places b of pairs whose whole token sets are similar enough; the sets come once more from the documents."""
-    pairs = cut(pairs)
-    asked = cut(pairs.select(place("a_").alias("p")).unionByName(pairs.select(place("b_").alias("p"))).distinct().select("p.*"))
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_LINES else asked
-    found = exploded(docs, hashed).join(wanted, PLACE, "left_semi")
-    if hashed:
-        found = found.dropDuplicates(PLACE)
-    found = written(found.select(*PLACE, token_set(F.col("line"), masks).alias("tokens")))
-    left, right = (found.select(*(F.col(c).alias(f"{s}_{c}") for c in [*PLACE, "tokens"])) for s in "ab")
-    both = pairs.join(left, [f"a_{c}" for c in PLACE]).join(right, [f"b_{c}" for c in PLACE])
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    similar = (100 + percent) * common >= percent * (F.size("a_tokens") + F.size("b_tokens"))
-    return both.where(similar).select(*(F.col(f"b_{c}").alias(c) for c in PLACE)).distinct()
-
-
-def removed_lines(docs: DataFrame, hashed: bool, percent: int = 80, min_tokens: int = 1) -> DataFrame:
-    """ord, line_no and hash of every line that an earlier one matches.
+def removed_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> DataFrame:
+    """The place of every line that an earlier one matches.
 
     A blank line, and one of fewer than min_tokens distinct tokens, stays wherever it stands and matches
-    nothing. Of the others a line goes if an earlier line (by doc_id, null last, then by line) has a
-    token set of similarity percent / 100 or more, whether that one goes itself or not; equal lines
-    are the plain case. Equal lines at one place of rows of one doc_id are one line.
+    nothing. Of the others a line goes if an earlier line has a token set of similarity percent / 100 or
+    more, whether that one goes itself or not; equal lines are the plain case. Earlier is by doc_id (null
+    last), then by a hash of the text, then by line. Rows that repeat both doc_id and text are one.
 
     As one earlier match is enough, a line that has been found to go isn't asked about again; it still
     counts as an earlier line for others.
     """
     docs = docs.select("doc_id", "text")
-    masks = literal(class_masks(docs))
-    not_blank = F.btrim(F.col("line"), F.lit(WHITE)) != ""
-    whole = [F.xxhash64("line").alias("same1"), F.xxhash64(F.lit(1), "line").alias("same2")]
-
-    def posted(tokens: Column) -> Column:
-        n = F.size(tokens)
-        return F.when(not_blank & (n >= min_tokens), F.struct(n.alias("n"), F.slice(tokens, 1, prefix_size(n, percent)).alias("prefix")))
-
-    # One array of at most one: a filter on the set would make the set twice.
-    long_enough = F.explode_outer(F.array(let(token_set(F.col("line"), masks), posted))).alias("set")
-    lines = written(exploded(docs, hashed).select(*PLACE, *whole, long_enough).where("set is not null").select(*PLACE, "same1", "same2", "set.n", "set.prefix"))
+    read = exploded(docs)
+    read = read.select(*PLACE, F.xxhash64("line").alias("same1"), F.xxhash64(F.lit(1), "line").alias("same2"), words_of(read).alias("words"))
+    read = read.select(*PLACE, "same1", "same2", F.size("words").alias("n"), F.transform("words", lambda w: F.hash(w)).alias("tokens"))
+    sets = written(read)
+    long_enough = sets.where(F.col("n") >= max(1, min_tokens))
+    lines = written(long_enough.select(PLACE))
+    told = setjoin.described(long_enough, setjoin.literal(setjoin.class_masks(sets)), percent)
     # Equal lines (by 128 bits) meet here, after each task has reduced its own.
-    firsts = lines.groupBy("same1", "same2").agg(F.min(F.struct(*PLACE, "n", "prefix")).alias("f")).select("f.*")
-    firsts = written(firsts)
-    gone = cut(verified(pairs_to_first(firsts, percent), docs, hashed, masks, percent))
-    undecided = firsts.join(gone, PLACE, "left_anti")
-    gone = gone.unionByName(verified(candidates(firsts, undecided, percent), docs, hashed, masks, percent))
+    firsts = told.groupBy("same1", "same2").agg(F.min(F.struct(*PLACE, *setjoin.DESCRIPTION)).alias("f")).select("f.*")
+    firsts = written(firsts.withColumn("lid", F.monotonically_increasing_id()))
+    forget(sets)
+
+    pairs = cut(setjoin.first_meetings(firsts, PLACE, percent))
+    words = words_asked(pairs, docs)
+    gone = cut(verified(pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")), words, percent))
+    forget(words)
+
+    place = {s: F.struct(*(F.col(f"{s}.{c}") for c in PLACE)) for s in "ab"}
+    pairs = setjoin.sketched(setjoin.meetings(firsts, gone, percent), firsts, PLACE, percent)
+    in_order = F.when(place["a"] < place["b"], F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = pairs.select(in_order.alias("p"), "apart").select("p.*", "apart")
+    pairs = cut(pairs.join(setjoin.few(gone), F.col("b.lid") == gone["lid"], "left_anti"))
+    words = words_asked(pairs, docs)
+    likeliest = pairs.groupBy(F.col("b.lid").alias("b")).agg(F.min(F.struct("apart", F.col("a.lid").alias("a"))).alias("best")).select("best.a", "b")
+    sure = cut(verified(likeliest, words, percent))
+    others = pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).join(sure.select(F.col("lid").alias("b")), "b", "left_anti")
+    gone = cut(gone.unionByName(sure).unionByName(verified(others, words, percent)))
+    forget(words)
     # What stays: the first of equal lines, if it has no similar one before it.
-    stay = firsts.select(*PLACE).join(gone, PLACE, "left_anti")
-    return lines.select(*PLACE).join(stay, PLACE, "left_anti")
+    stay = firsts.join(setjoin.few(gone), "lid", "left_anti").select(PLACE)
+    return lines.join(stay, PLACE, "left_anti")
+
 
+def by_row(removed: DataFrame) -> DataFrame:
+    """The columns of ROW and removed: the numbers of its removed lines, as many as the text has at most."""
+    return removed.groupBy(ROW).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
-def by_document(removed: DataFrame) -> DataFrame:
-    """ord and removed: the (line_no, hash) of its removed lines, as many as the document has at most."""
-    return removed.groupBy("ord").agg(F.array_sort(F.collect_set(F.struct("line_no", "hash"))).alias("removed"))
+
+def with_removed(docs: DataFrame, percent: int, min_tokens: int) -> tuple[DataFrame, Column]:
+    """docs with a further column, and that column: the numbers of the lines that go, null for none."""
+    gone = cut(by_row(removed_lines(docs, percent, min_tokens)))
+    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("removed")).alias("lines")).first()
+    name = free_name(docs, "gone_lines")
+    keys = [free_name(docs, f"gone_{c}") for c in ROW]
+    gone = gone.select(*(F.col(c).alias(k) for c, k in zip(ROW, keys, strict=True)), F.col("removed").alias(name))
+    if max(size.rows, size.lines or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    same = [x == gone[k] for x, k in zip(row_of(docs), keys, strict=True)]
+    return docs.join(gone, same, "left"), F.col(name)
 
 
 def report(docs: DataFrame, percent: int = 80, min_tokens: int = 5) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, comma-joined) of every row.
 
-    A null text has no lines, an empty one has one. Rows of one doc_id list their removed lines together.
+    A null text has no lines, an empty one has one. Rows that repeat both doc_id and text say the same.
+    An empty table gives an empty table; other columns are not read.
     """
-    gone = by_document(removed_lines(docs, repeats_ids(docs), percent, min_tokens)).withColumnRenamed("ord", "gone_ord")
-    rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.join(gone, F.coalesce("doc_id", F.lit(LAST)) == F.col("gone_ord"), "left")
-    numbers = F.array_distinct(F.transform("removed", lambda r: r["line_no"]))
+    rows, removed = with_removed(docs.select("doc_id", "text"), percent, min_tokens)
     return rows.select(
         "doc_id",
-        "n_lines",
-        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(numbers.cast("array<string>"), ","), F.lit("")).alias("removed"),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(removed.cast("array<string>"), ","), F.lit("")).alias("removed"),
     )
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 5) -> DataFrame:
     """docs with the lines that match an earlier one taken out of text; every row stays.
 
-    Null texts stay null, empty ones empty; a text that loses all its lines becomes empty. Rows of
-    null doc_id come last and are treated as one document. Other columns pass through unchanged;
-    n_chars, where there is one, counts the new text. An empty table gives an empty table.
+    Null texts stay null, empty ones empty; a text that loses all its lines becomes empty. Rows of null
+    doc_id come last, by a hash of their texts. Other columns pass through unchanged; n_chars, where there
+    is one, counts the new text. An empty table gives an empty table.
     """
-    hashed = repeats_ids(docs)
-    gone = by_document(removed_lines(docs, hashed, percent, min_tokens))
-    key, found = free_name(docs, "gone_ord"), free_name(docs, "gone_lines")
-    gone = gone.select(F.col("ord").alias(key), F.col("removed").alias(found))
-    stays = F.filter(
-        F.split(docs["text"], "\n"),
-        lambda line, i: ~F.array_contains(F.col(found), F.struct(i.alias("line_no"), line_hash(line, hashed).alias("hash"))),
-    )
-    text = F.when(F.col(found).isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))
-    joined = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col(key), "left").withColumn("text", text).drop(key, found)
+    joined, gone = with_removed(docs, percent, min_tokens)
+    lines = F.split(docs["text"], "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.transform(F.arrays_zip(F.array(lines).alias("all"), F.array(stays).alias("at")), lambda x: F.array_join(F.transform(x["at"], lambda i: F.get(x["all"], i)), "\n"))[0]
+    joined = joined.withColumn("text", F.when(gone.isNull(), docs["text"]).otherwise(kept))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns))

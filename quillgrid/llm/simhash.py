@@ -19,9 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import as_bytes, cut
+from quillgrid.llm.common import as_bytes, cut, free_name
 
 SEED = 42
+#: Documents that stay, up to this many (some 30 bytes each), are named to every executor; beyond it texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Shingles whose bits are counted at once, which bounds the memory that a very long text takes.
 PIECE = 1 << 15
 BIT_WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -130,7 +132,8 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
     """The rows of docs that stay when one document of each group of near duplicates does, with their columns.
 
     The one of least doc_id stays (null last); of rows that share it, the one of least content hash,
-    and of rows that share that as well one.
+    and of rows that share that as well one. Null texts count as empty ones and are alike. Columns pass through,
+    whatever their names; an empty table gives an empty table.
     """
     return winners_of(docs, near_duplicates(docs, width, radius))
 
@@ -141,10 +144,12 @@ def winners_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     winners = found.groupBy("root").agg(F.min(place).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.content").alias("content"))
     sizes = found.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
     same = winners["doc_id"].eqNullSafe(sizes["doc_id"]) & (winners["content"] == sizes["content"])
-    winners = cut(winners.join(sizes, same).select(winners["doc_id"].alias("_won_id"), winners["content"].alias("_won_content"), "n"))
-    won = docs["doc_id"].eqNullSafe(F.col("_won_id")) & (F.xxhash64(docs["text"]) == F.col("_won_content"))
-    stay = docs.join(winners.where("n = 1").drop("n"), won, "left_semi")
-    repeated = winners.where("n > 1").drop("n")
+    won_id, won_content = free_name(docs, "won_id"), free_name(docs, "won_content")
+    winners = cut(winners.join(sizes, same).select(winners["doc_id"].alias(won_id), winners["content"].alias(won_content), F.col("n").alias("won_n")))
+    won = docs["doc_id"].eqNullSafe(F.col(won_id)) & (F.xxhash64(docs["text"]) == F.col(won_content))
+    once = cut(winners.where("won_n = 1").drop("won_n"))
+    stay = docs.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, won, "left_semi")
+    repeated = winners.where("won_n > 1").drop("won_n")
     if repeated.isEmpty():
         return stay
     return stay.unionByName(docs.join(repeated, won, "left_semi").dropDuplicates(["doc_id", "text"]))
