@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters between words where words are runs of anything but ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Characters between words where words are ASCII letters, digits and anything beyond ASCII.
@@ -36,16 +38,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What Spark has shuffled for a job is deleted as the job ends, not whenever the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed now, as a checkpoint in the shared folder; for small rows read once or twice."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, computed now, as a table in the shared folder; for wide rows of which columns are read."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
