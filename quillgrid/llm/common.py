@@ -56,11 +56,14 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, computed now, as a table in the shared folder; for wide rows of which columns are read."""
+def written(df: DataFrame, plain: bool = False) -> DataFrame:
+    """The rows of df, computed now, as a table in the shared folder; for wide rows of which columns are read.
+
+    plain: without dictionaries, which cost time and save nothing where values are mostly hashes.
+    """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     with tidy(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

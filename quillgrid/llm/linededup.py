@@ -6,8 +6,8 @@ then orders tokens by rarity and applies the prefix, length, positional and sket
 verified on the words themselves. A line goes when an earlier line is equal or similar enough.
 
 Groups of near copies are thinned before the join: each line is first compared with the first line of the
-same least or largest token hash, and what is found to go by that is no longer looked up, only listed.
-Of the candidates of a line the likeliest is verified first, the others only where that one fails.
+same least or largest token hash or rarest token, and what is found to go by that is no longer looked up,
+only listed.
 
 What is written for later steps is deleted once its last reader is done, but for what the result reads.
 """
@@ -33,14 +33,18 @@ def row_of(docs: DataFrame) -> list[Column]:
     return [docs["doc_id"].isNull(), F.coalesce(docs["doc_id"], F.lit(0)).cast("long"), F.xxhash64(docs["text"])]
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """The columns of PLACE, odd (whether the text has white space other than blanks and line feeds) and line of every line."""
+def rows_of(docs: DataFrame) -> DataFrame:
+    """The columns of ROW, odd (whether the text has white space other than blanks and line feeds) and text."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | docs["text"].contains(c)
-    rows = docs.select(*(x.alias(c) for x, c in zip(row_of(docs), ROW, strict=True)), odd.alias("odd"), "text")
+    return docs.select(*(x.alias(c) for x, c in zip(row_of(docs), ROW, strict=True)), odd.alias("odd"), "text")
+
+
+def exploded(docs: DataFrame) -> DataFrame:
+    """The columns of PLACE, odd and line of every line."""
     # The outer form, as Spark would split twice to filter empty arrays before the plain one.
-    lines = rows.select(*ROW, "odd", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    lines = rows_of(docs).select(*ROW, "odd", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return lines.where("line is not null")
 
 
@@ -60,9 +64,15 @@ def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
 
 
 def words_asked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """lid and words of all lines of pairs a, b (structs of lid and place), once more from the documents."""
-    asked = setjoin.few(cut(pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()))
-    found = exploded(docs).join(asked, PLACE)
+    """lid and words of all lines of pairs a, b (structs of lid and place), once more from the documents.
+
+    Only texts with a line that is asked for are split.
+    """
+    asked = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()
+    asked = cut(asked.groupBy(ROW).agg(F.collect_list(F.struct("lid", "line_no")).alias("asked")))
+    texts = rows_of(docs).join(setjoin.few(asked), ROW).select("odd", F.split("text", "\n").alias("lines"), "asked")
+    found = texts.select("odd", F.explode(F.arrays_zip(F.col("asked.lid").alias("lid"), F.transform("asked.line_no", lambda i: F.get("lines", i)).alias("line"))).alias("one"))
+    found = found.select("odd", "one.*")
     found = found.select("lid", words_of(found).alias("words"))
     return written(found.groupBy("lid").agg(F.first("words").alias("words")))  # rows may repeat
 
@@ -82,7 +92,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> Da
     read = exploded(docs)
     read = read.select(*PLACE, F.xxhash64("line").alias("same1"), F.xxhash64(F.lit(1), "line").alias("same2"), words_of(read).alias("words"))
     read = read.select(*PLACE, "same1", "same2", F.size("words").alias("n"), F.transform("words", lambda w: F.hash(w)).alias("tokens"))
-    sets = written(read)
+    sets = written(read, plain=True)
     long_enough = sets.where(F.col("n") >= max(1, min_tokens))
     lines = written(long_enough.select(PLACE))
     told = setjoin.described(long_enough, setjoin.literal(setjoin.class_masks(sets)), percent)
@@ -96,16 +106,13 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_tokens: int = 1) -> Da
     gone = cut(verified(pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")), words, percent))
     forget(words)
 
-    place = {s: F.struct(*(F.col(f"{s}.{c}") for c in PLACE)) for s in "ab"}
-    pairs = setjoin.sketched(setjoin.meetings(firsts, gone, percent), firsts, PLACE, percent)
-    in_order = F.when(place["a"] < place["b"], F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = pairs.select(in_order.alias("p"), "apart").select("p.*", "apart")
+    pairs = cut(setjoin.meetings(firsts, gone, percent))
+    one = firsts.select("lid", F.struct(*PLACE, "lid").alias("one"))
+    pairs = pairs.join(one.select(F.col("lid").alias("a"), F.col("one").alias("a_one")), "a").join(one.select(F.col("lid").alias("b"), F.col("one").alias("b_one")), "b")
+    pairs = pairs.select(F.least("a_one", "b_one").alias("a"), F.greatest("a_one", "b_one").alias("b"))
     pairs = cut(pairs.join(setjoin.few(gone), F.col("b.lid") == gone["lid"], "left_anti"))
     words = words_asked(pairs, docs)
-    likeliest = pairs.groupBy(F.col("b.lid").alias("b")).agg(F.min(F.struct("apart", F.col("a.lid").alias("a"))).alias("best")).select("best.a", "b")
-    sure = cut(verified(likeliest, words, percent))
-    others = pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).join(sure.select(F.col("lid").alias("b")), "b", "left_anti")
-    gone = cut(gone.unionByName(sure).unionByName(verified(others, words, percent)))
+    gone = cut(gone.unionByName(verified(pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")), words, percent)))
     forget(words)
     # What stays: the first of equal lines, if it has no similar one before it.
     stay = firsts.join(setjoin.few(gone), "lid", "left_anti").select(PLACE)

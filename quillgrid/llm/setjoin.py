@@ -1,13 +1,14 @@
 """What an exact set-similarity join of whole-number token sets needs, in DataFrame functions only.
 
-A set is described by its size n, its prefix and three sketches. The prefix: its tokens, the rarest
+A set is described by its size n, its prefix and two sketches. The prefix: its tokens, the rarest
 first, up to the place from which on a set of Jaccard similarity percent / 100 or more must have met it.
 Of two sets the longer one is looked up by its whole prefix, and the shorter one (by n, then by number)
 is listed under the first n - ceil(2t / (1 + t) n) + 1 tokens alone, as both share more than t of it.
-A meeting passes by the sizes, by the places of the shared token in both sets, and by the first sketch.
+A meeting passes by the sizes, by the places of the shared token in both sets, and by the sketches.
 
-A sketch counts, modulo 2, the tokens of each of its bits. Every token of one set only flips one bit, so the
-bits in which two sketches differ are no more than the tokens that aren't shared: a bound without error.
+The two sketches are 128 bits, each the number of its tokens modulo 2. Every token of one set only flips one
+bit, so the bits in which two sketches differ are no more than the tokens that aren't shared: a bound
+without error.
 
 Tokens are 32-bit hashes. Two tokens of one hash can only make sets look more alike than they are,
 so no pair is lost; whoever asks for pairs compares the real tokens of what is left.
@@ -27,7 +28,7 @@ LOW_BITS = 32 - CLASS_BITS
 #: Numbers of sets up to this many (some 50 bytes each) are sent to every executor; beyond it rows are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: What described adds.
-DESCRIPTION = ["n", "low", "high", "sketch", "sketch1", "sketch2", "prefix"]
+DESCRIPTION = ["n", "low", "high", "sketch1", "sketch2", "prefix"]
 
 
 def class_of(token: Column) -> Column:
@@ -70,8 +71,8 @@ def needed(n: Column, m: Column, percent: int) -> Column:
 def described(sets: DataFrame, masks: Column, percent: int) -> DataFrame:
     """sets without n and tokens, with the columns of DESCRIPTION; none may be empty. n may be less than the tokens are."""
 
-    def sketch(bit: str, only: str = "true") -> Column:
-        return F.expr(f"aggregate(tokens, 0L, (s, t) -> if({only}, s ^ shiftleft(1L, {bit}), s))")
+    def sketch(only: str) -> Column:
+        return F.expr(f"aggregate(tokens, 0L, (s, t) -> if({only}, s ^ shiftleft(1L, t & 63), s))")
 
     ordered = F.sort_array(F.transform("tokens", lambda t: t.bitwiseXOR(F.get(masks, class_of(t)))))
     kept = [c for c in sets.columns if c not in ("n", "tokens")]
@@ -80,9 +81,8 @@ def described(sets: DataFrame, masks: Column, percent: int) -> DataFrame:
         "n",
         F.array_min("tokens").alias("low"),
         F.array_max("tokens").alias("high"),
-        sketch("t & 63").alias("sketch"),
-        sketch("(t >> 6) & 63", "(t & 4096) = 0").alias("sketch1"),
-        sketch("(t >> 6) & 63", "(t & 4096) <> 0").alias("sketch2"),
+        sketch("(t & 64) = 0").alias("sketch1"),
+        sketch("(t & 64) <> 0").alias("sketch2"),
         F.slice(ordered, 1, prefix_size(F.size("tokens"), percent)).alias("prefix"),
     )
 
@@ -93,8 +93,9 @@ def unshared(percent: int, a: str = "a.", b: str = "b.") -> Column:
     return n + m - 2 * needed(n, m, percent)
 
 
-def differing(name: str, a: str = "a.", b: str = "b.") -> Column:
-    return F.bit_count(F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}")))
+def differing(a: str = "a.", b: str = "b.") -> Column:
+    one, two = (F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("sketch1", "sketch2"))
+    return one + two
 
 
 def of_like_size(percent: int, a: str = "a.", b: str = "b.") -> Column:
@@ -103,15 +104,15 @@ def of_like_size(percent: int, a: str = "a.", b: str = "b.") -> Column:
 
 
 def first_meetings(firsts: DataFrame, order: list[str], percent: int) -> DataFrame:
-    """Pairs a, b of structs of lid and the columns of order: each set b and the first set a (by order) of the same least or largest hash.
+    """Pairs a, b of structs of lid and the columns of order: each set b and the first set a (by order) of the same least or largest hash or rarest token.
 
     Of a group of near copies most meet here the one that comes first, so that the group needs no pairs
     among its own. What this misses is left to meetings.
     """
-    one = F.struct(*order, "lid", "n", "sketch")
-    keyed = firsts.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("key"), one.alias("b"))
+    one = F.struct(*order, "lid", "n", "sketch1", "sketch2")
+    keyed = firsts.select(F.explode(F.array_distinct(F.array("low", "high", F.get("prefix", F.lit(0))))).alias("key"), one.alias("b"))
     heads = keyed.groupBy("key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "a")
-    met = keyed.join(heads, "key").where((F.col("a.lid") != F.col("b.lid")) & of_like_size(percent) & (differing("sketch") <= unshared(percent)))
+    met = keyed.join(heads, "key").where((F.col("a.lid") != F.col("b.lid")) & of_like_size(percent) & (differing() <= unshared(percent)))
     name = [F.struct(*(F.col(f"{s}.{c}") for c in [*order, "lid"])).alias(s) for s in "ab"]
     return met.select(*name).distinct()
 
@@ -126,7 +127,7 @@ def alike(percent: int) -> Column:
     """Whether two postings a and b of one token leave room for the similarity."""
     a_rest, b_rest = F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")
     shared = F.least("a.at", "b.at") + F.least(a_rest, b_rest)
-    return of_like_size(percent) & (shared >= needed(F.col("a.n"), F.col("b.n"), percent)) & (differing("sketch") <= unshared(percent))
+    return of_like_size(percent) & (shared >= needed(F.col("a.n"), F.col("b.n"), percent)) & (differing() <= unshared(percent))
 
 
 def shorter_first() -> Column:
@@ -139,7 +140,7 @@ def meetings(firsts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     A set that is gone is listed under its whole prefix and not looked up, so that a group of copies
     of which most are gone is met by what is left of it only.
     """
-    marked = firsts.join(few(gone).withColumn("out", F.lit(True)), "lid", "left").select("lid", "n", "sketch", F.coalesce("out", F.lit(False)).alias("out"), "prefix")
+    marked = firsts.join(few(gone).withColumn("out", F.lit(True)), "lid", "left").select("lid", "n", "sketch1", "sketch2", F.coalesce("out", F.lit(False)).alias("out"), "prefix")
     asking = postings(marked.where("not out").drop("out")).alias("b")
     listed = postings(marked, F.when(F.col("out"), F.size("prefix")).otherwise(listed_size(F.col("n"), percent))).alias("a")
     met = listed.join(asking, (F.col("a.token") == F.col("b.token")) & (F.col("a.out") | shorter_first()) & alike(percent))
@@ -149,11 +150,3 @@ def meetings(firsts: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
 def few(rows: DataFrame) -> DataFrame:
     """rows (computed already), to be sent to every executor if they are few enough."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def sketched(pairs: DataFrame, firsts: DataFrame, columns: list[str], percent: int) -> DataFrame:
-    """Structs a and b of lid and the given columns, and apart (how much the sketches differ), of the pairs whose sketches leave room."""
-    one = firsts.select("lid", F.struct("lid", *columns, "n", "sketch1", "sketch2").alias("one"))
-    met = pairs.join(one.select(F.col("lid").alias("a"), F.col("one").alias("a_one")), "a").select(F.col("b").alias("lid"), F.col("a_one").alias("a")).join(one.withColumnRenamed("one", "b"), "lid")
-    met = met.withColumn("apart", differing("sketch1") + differing("sketch2")).where(F.col("apart") <= unshared(percent))
-    return met.select(*(F.struct(*(F.col(f"{s}.{c}") for c in ["lid", *columns])).alias(s) for s in "ab"), "apart")
