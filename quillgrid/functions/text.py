@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that say nothing about what a table is about.
-STOP_WORDS = ("the", "and", "for", "with", "from", "table", "statement", "number")
+STOP_WORDS = ("a", "an", "the", "of", "and", "or", "by", "for", "in", "on", "to", "with", "as", "at", "from", "per", "no", "sl", "nos", "table", "statement")
+# Words that tell apart variants of one table.
+VARIANT_WORDS = ("urban", "rural", "all", "total", "male", "female", "others", "other")
 # How a missing figure is written.
 PLACEHOLDERS = ("", "-", "--", "—", "–", "na", "n.a.", "n/a", "nil", "..", "...")
 
@@ -18,9 +20,9 @@ def base_title(title: Column) -> Column:
 
 
 def title_tokens(title: Column) -> Column:
-    """Distinct lower-case tokens of three characters or more that aren't stop words or numbers."""
+    """Distinct lower-case tokens of three characters or more that aren't stop words, variants or numbers."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("([a-z0-9]+)"), 1))
-    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS) & ~t.rlike("^[0-9]+$"))
+    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS, *VARIANT_WORDS) & ~t.rlike("^[0-9]+$"))
 
 
 def slug(name: Column) -> Column:

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 
 
 def blocks_by_gap(rows: DataFrame, unit: str, order: str, blank: str) -> DataFrame:
-    """rows that aren't blank with block: how many runs of blank rows, after the first row, come before."""
+    """The rows of each block of a unit, with block, its number from 0.
+
+    Two blank rows or more in a row part blocks; a single one belongs to the block around it. Blank rows
+    at a block's edges are left out, and so are blocks of one row.
+    """
     in_unit = W.partitionBy(unit).orderBy(order)
-    before = F.lag(F.col(blank), 1, True).over(in_unit)
-    starts = (~F.col(blank) & before).cast("int")
-    return rows.withColumn("_starts", starts).withColumn("block", F.sum("_starts").over(in_unit.rowsBetween(W.unboundedPreceding, 0))).where(~F.col(blank)).drop("_starts")
+    filled = F.when(~F.col(blank), F.col("_at"))
+    at = rows.withColumn("_at", F.row_number().over(in_unit))
+    at = at.withColumn("_last", F.max(filled).over(in_unit.rowsBetween(W.unboundedPreceding, -1)))
+    starts = (~F.col(blank) & (F.col("_last").isNull() | (F.col("_at") - F.col("_last") > 2))).cast("int")
+    at = at.withColumn("_run", F.sum(starts).over(in_unit.rowsBetween(W.unboundedPreceding, 0)))
+    of_run = W.partitionBy(unit, "_run")
+    inside = at.withColumns({"_from": F.min(filled).over(of_run), "_to": F.max(filled).over(of_run)}).where("_to > _from and _at between _from and _to")
+    return inside.withColumn("block", F.dense_rank().over(W.partitionBy(unit).orderBy("_run")) - 1).drop("_at", "_last", "_run", "_from", "_to")
 
 
 def fill_forward(rows: DataFrame, unit: str, order: str, column: str) -> DataFrame:

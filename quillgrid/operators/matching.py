@@ -15,6 +15,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed now, in the folder that spark.checkpoint.dir names, or a temporary one where it is unset."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
     return df.checkpoint()
 
@@ -145,16 +147,17 @@ def hash_embedding(items: DataFrame, key: str, text: str, width: int = 1536) ->
 
 
 def token_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_key, right_key and the cosine of their distinct tokens, for pairs that share one.
+    """left_key, right_key and the cosine of how often their tokens occur, for pairs that share one.
 
-    left and right: key and tokens (an array).
+    left and right: key and tokens (an array in which tokens may repeat).
     """
+
     def spread(side: DataFrame, name: str) -> DataFrame:
-        tokens = F.array_distinct("tokens")
-        return side.select(F.col("key").alias(name), F.size(tokens).alias(f"{name}_n"), F.explode(tokens).alias("token"))
+        counted = side.select(F.col("key").alias(name), F.explode("tokens").alias("token")).groupBy(name, "token").agg(F.count(F.lit(1)).alias(f"{name}_tf"))
+        return counted.withColumn(f"{name}_norm", F.sum(F.pow(f"{name}_tf", F.lit(2))).over(W.partitionBy(name)))
 
-    shared = spread(left, "left_key").join(spread(right, "right_key"), "token").groupBy("left_key", "right_key", "left_key_n", "right_key_n").agg(F.count(F.lit(1)).alias("k"))
-    return shared.select("left_key", "right_key", F.round(F.col("k") / F.sqrt(F.col("left_key_n") * F.col("right_key_n")), 6).alias("cosine"))
+    shared = spread(left, "left_key").join(spread(right, "right_key"), "token").groupBy("left_key", "right_key", "left_key_norm", "right_key_norm").agg(F.sum(F.col("left_key_tf") * F.col("right_key_tf")).alias("dot"))
+    return shared.select("left_key", "right_key", F.round(F.col("dot") / F.sqrt(F.col("left_key_norm") * F.col("right_key_norm")), 6).alias("cosine"))
 
 
 def shortlist(scored: DataFrame, owner: str, level: str, score: str, key: str, quotas: dict[str, int], best: int) -> DataFrame:

@@ -21,13 +21,14 @@ def soft_delete_missing(current: DataFrame, keep: DataFrame, key: str) -> DataFr
 
 
 def appended(old: Column, new: Column) -> Column:
-    """The elements of old, then those of new that it lacks, without nulls."""
-    return F.array_union(F.array_compact(F.coalesce(old, F.array().cast("array<string>"))), F.array_compact(new))
+    """The elements of old, then those of new; repeats and nulls stay, as ids are only ever added."""
+    empty = F.array().cast("array<string>")
+    return F.concat(F.coalesce(old, empty), F.coalesce(new, empty))
 
 
 def monotone_step(current: Column, proposed: Column) -> Column:
-    """A step that never goes back."""
-    return F.greatest(F.coalesce(current, F.lit(0)), F.coalesce(proposed, F.lit(0)))
+    """A step that never goes back; what is proposed counts as 1 at least and 6 at most."""
+    return F.greatest(F.coalesce(current, F.lit(0)), F.least(F.greatest(F.coalesce(proposed, F.lit(1)), F.lit(1)), F.lit(6)))
 
 
 def overlay(base: DataFrame, edits: DataFrame, key: str, columns: list[str], tombstones: DataFrame) -> DataFrame:
@@ -38,13 +39,17 @@ def overlay(base: DataFrame, edits: DataFrame, key: str, columns: list[str], tom
     return rows.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
-def review_ids(tables: DataFrame, doc: str, page: str, order: str, prefix: str) -> DataFrame:
-    """tables with review_id: prefix, document and page, and the table's number where a page has several."""
-    on_page = W.partitionBy(doc, page)
+def review_ids(tables: DataFrame, source: str, page: str, order: str, prefix: str, statistics: str = "", separator: str = "-") -> DataFrame:
+    """tables with review_id: prefix, statistics, source, P and the page (0 where it is no number), and T and the table's number where a page has several.
+
+    Empty parts are left out.
+    """
+    on_page = W.partitionBy(source, page)
     number = F.row_number().over(on_page.orderBy(order))
     many = F.count(F.lit(1)).over(on_page) > 1
-    parts = F.concat_ws("-", F.lit(prefix), F.upper(F.col(doc).cast("string")), F.concat(F.lit("P"), F.col(page).cast("string")), F.when(many, F.concat(F.lit("T"), number.cast("string"))))
-    return tables.withColumn("review_id", parts)
+    page_part = F.concat(F.lit("P"), F.coalesce(F.expr(f"try_cast(`{page}` as bigint)"), F.lit(0)).cast("string"))
+    parts = [F.lit(prefix), F.lit(statistics), F.col(source).cast("string"), page_part, F.when(many, F.concat(F.lit("T"), number.cast("string")))]
+    return tables.withColumn("review_id", F.concat_ws(separator, *(F.when(x != "", x) for x in parts)))
 
 
 def live(staged: DataFrame, stamp: str, now: str, days: int = 7) -> DataFrame:

@@ -190,12 +190,14 @@ def leftover_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_pair_compatible(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.compatible_titles(table(spark, sf, "part"), "p_partkey", "p_name")
+    # Titles of which those of one product share two words, whatever their kind.
+    titled = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lit("by"), "p_type", F.lit("total")).alias("title"))
+    return matching.compatible_titles(titled, "p_partkey", "title")
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    found = matching.nearest(vectors.where("vec_id % 20 = 0"), vectors.where("label < 5"), 5)
+    found = matching.nearest(vectors.where("vec_id % 20 = 0"), vectors, 5)
     return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
 
 
@@ -219,7 +221,8 @@ def hierarchy_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_cosine(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select("p_name").distinct()
-    left = names.select(F.col("p_name").alias("key"), T.title_tokens(F.col("p_name")).alias("tokens"))
+    tokens = T.title_tokens(F.col("p_name"))
+    left = names.select(F.col("p_name").alias("key"), F.concat(tokens, F.array(F.array_min(tokens))).alias("tokens"))
     return matching.token_cosine(left, left).where("left_key < right_key")
 
 
@@ -247,7 +250,7 @@ def append_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def monotone_step(spark: SparkSession, sf: str) -> DataFrame:
-    step = publish.monotone_step(F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 7), F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey") % 6))
+    step = publish.monotone_step(F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 7), F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey") % 9))
     return table(spark, sf, "part").select("p_partkey", step.cast("long").alias("step"))
 
 
@@ -260,7 +263,7 @@ def review_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("page"))
-    return publish.review_ids(lines.dropDuplicates(["l_orderkey", "l_linenumber"]), "l_orderkey", "page", "l_linenumber", "TB").select("l_orderkey", "l_linenumber", "review_id")
+    return publish.review_ids(lines.dropDuplicates(["l_orderkey", "l_linenumber"]), "l_orderkey", "page", "l_linenumber", "TB", "PRC").select("l_orderkey", "l_linenumber", "review_id")
 
 
 def ttl_purge(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,7 @@ def profile_sql(cells: str) -> str:
               FROM {cells} GROUP BY 1, 2)"""
 
 
-TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'with', 'from', 'table', 'statement', 'number') AND NOT regexp_full_match(t, '[0-9]+'))"
+TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda t: length(t) >= 3 AND t NOT IN ('a', 'an', 'the', 'of', 'and', 'or', 'by', 'for', 'in', 'on', 'to', 'with', 'as', 'at', 'from', 'per', 'no', 'sl', 'nos', 'table', 'statement', 'urban', 'rural', 'all', 'total', 'male', 'female', 'others', 'other') AND NOT regexp_full_match(t, '[0-9]+'))"
 BASE_TITLE = r"""CASE WHEN trim(regexp_replace(regexp_replace(title, '\s*\([^()]*\)\s*$', ''), '\s+', ' ', 'g')) = '' THEN upper(trim(title))
     ELSE upper(trim(regexp_replace(regexp_replace(title, '\s*\([^()]*\)\s*$', ''), '\s+', ' ', 'g'))) END"""
 SLUG = r"lower(regexp_replace({0}, '[\s_\-./]', '', 'g'))"
@@ -129,11 +129,11 @@ SQL: dict[str, str] = {
         SELECT table_id, CASE WHEN n = 1 AND r = 1 THEN item_id END, CASE WHEN n = 1 AND r = 1 THEN 'stem' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END FROM m""",
     "leftover_inventory": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "title_pair_compatible": f"""
-        WITH t AS (SELECT p_name, {TOKENS.format('upper(p_name)')} AS ts FROM (SELECT DISTINCT p_name FROM part))
-        SELECT * FROM (SELECT a.p_name AS first, b.p_name AS second, len(list_intersect(a.ts, b.ts)) AS shared, least(len(a.ts), len(b.ts)) AS small FROM t a JOIN t b ON a.p_name < b.p_name)
-        WHERE shared >= 2 OR (shared >= 1 AND shared >= 0.7 * small)""".replace("SELECT * FROM (SELECT a", "SELECT first, second, shared FROM (SELECT a"),
+        WITH t AS (SELECT title, {TOKENS.format('title')} AS ts FROM (SELECT DISTINCT p_name || ' by ' || p_type || ' total' AS title FROM part)),
+        p AS (SELECT a.title AS first, b.title AS second, len(list_intersect(a.ts, b.ts)) AS shared, least(len(a.ts), len(b.ts)) AS small FROM t a JOIN t b ON a.title < b.title)
+        SELECT first, second, shared FROM p WHERE shared >= 2 OR (shared >= 1 AND shared >= 0.7 * small)""",
     "cosine_topk": f"""
-        WITH {COSINE.format('(SELECT * FROM embeddings WHERE vec_id % 20 = 0)', '(SELECT * FROM embeddings WHERE label < 5)')},
+        WITH {COSINE.format('(SELECT * FROM embeddings WHERE vec_id % 20 = 0)', 'embeddings')},
         r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, v) AS rank FROM dist)
         SELECT q AS query_id, v AS vec_id, round(d, 4) AS distance, rank FROM r WHERE rank <= 5""",
     "knn_edges": f"""
@@ -153,9 +153,11 @@ SQL: dict[str, str] = {
         SELECT 'division' AS level, r_regionkey::VARCHAR AS code, r_name AS title, NULL::VARCHAR AS parent FROM region
         UNION ALL SELECT 'group', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR FROM nation""",
     "token_cosine": f"""
-        WITH t AS (SELECT p_name, {TOKENS.format('p_name')} AS ts FROM (SELECT DISTINCT p_name FROM part))
-        SELECT a.p_name AS left_key, b.p_name AS right_key, round(len(list_intersect(a.ts, b.ts)) / sqrt(len(a.ts) * len(b.ts)), 6) AS cosine
-        FROM t a JOIN t b ON a.p_name < b.p_name WHERE len(list_intersect(a.ts, b.ts)) > 0""",
+        WITH t AS (SELECT p_name, {TOKENS.format('p_name')} AS ts FROM (SELECT DISTINCT p_name FROM part)),
+        u AS (SELECT p_name, unnest(list_append(ts, list_min(ts))) AS token FROM t), f AS (SELECT p_name, token, count(*) AS tf FROM u GROUP BY ALL),
+        n AS (SELECT p_name, sqrt(sum(tf * tf)) AS norm FROM f GROUP BY 1)
+        SELECT a.p_name AS left_key, b.p_name AS right_key, round(sum(a.tf * b.tf) / (any_value(na.norm) * any_value(nb.norm)), 6) AS cosine
+        FROM f a JOIN f b USING (token) JOIN n na ON na.p_name = a.p_name JOIN n nb ON nb.p_name = b.p_name WHERE a.p_name < b.p_name GROUP BY 1, 2""",
     "shortlist_quota": """
         WITH s AS (SELECT p_brand, p_type, p_partkey, round(p_retailprice, 2) AS score FROM part),
         r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, p_partkey) AS il, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS ov FROM s),
@@ -167,16 +169,16 @@ SQL: dict[str, str] = {
     "soft_delete_not_in": """
         SELECT c_custkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS deleted FROM customer""",
     "append_ids": """
-        SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 4 <> 0 THEN 'a' END, p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'b' END, p_type], lambda x: x IS NOT NULL), ',') AS ids FROM part""",
+        SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN 'a,' || p_brand || ',' ELSE '' END || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ',b' ELSE '' END || ',' || p_type AS ids FROM part""",
     "monotone_step": """
-        SELECT p_partkey, greatest(coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_size % 7 END, 0), coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 6 END, 0))::BIGINT AS step FROM part""",
+        SELECT p_partkey, greatest(coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_size % 7 END, 0), greatest(1, least(6, coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 9 END, 1))))::BIGINT AS step FROM part""",
     "review_overlay": """
         SELECT d.doc_id, d.lang, CASE WHEN l.quality = 0 THEN 'poor' ELSE d.source END AS source FROM documents d LEFT JOIN labels l USING (doc_id)
         WHERE l.toxic IS NULL OR l.toxic <> 1""",
     "review_ids": """
         WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 3 AS page FROM lineitem),
         n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, page) AS c, row_number() OVER (PARTITION BY l_orderkey, page ORDER BY l_linenumber) AS r FROM l)
-        SELECT l_orderkey, l_linenumber, 'TB-' || l_orderkey || '-P' || page || CASE WHEN c > 1 THEN '-T' || r ELSE '' END AS review_id FROM n""",
+        SELECT l_orderkey, l_linenumber, 'TB-PRC-' || l_orderkey || '-P' || page || CASE WHEN c > 1 THEN '-T' || r ELSE '' END AS review_id FROM n""",
     "ttl_purge": "SELECT event_type, count(*) AS n_live FROM events WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY event_type",
     "batch_status": """
         WITH s AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey % 3 = 0 THEN 'done' ELSE 'error' END ELSE 'running' END AS st FROM orders),
@@ -185,10 +187,10 @@ SQL: dict[str, str] = {
                CASE WHEN r > 0 THEN round_even(100 * (d + e) / n, 0) ELSE 100 END::INT AS percent, n FROM g""",
     "stacked_rows_expand": f"WITH {DOC_LINES} SELECT doc_id, part::INT AS part, md5(line) AS line_md5 FROM lines",
     "blocks_by_gap": f"""
-        WITH {DOC_LINES}, f AS (SELECT *, length(line) < 40 AS gap FROM lines),
-        s AS (SELECT *, (NOT gap AND coalesce(lag(gap) OVER w, true))::INT AS st FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY part)),
-        b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY part) AS block FROM s)
-        SELECT doc_id, block::BIGINT AS block, count(*) AS n_rows FROM b WHERE NOT gap GROUP BY 1, 2""",
+        WITH {DOC_LINES}, there AS (SELECT doc_id, part, part - lag(part) OVER (PARTITION BY doc_id ORDER BY part) AS step FROM lines WHERE length(line) >= 40),
+        runs AS (SELECT doc_id, part, count(*) FILTER (step IS NULL OR step > 2) OVER (PARTITION BY doc_id ORDER BY part) AS run FROM there),
+        spans AS (SELECT doc_id, run, max(part) - min(part) + 1 AS n_rows FROM runs GROUP BY 1, 2 HAVING max(part) > min(part))
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS block, n_rows FROM spans""",
     "header_fill": """
         SELECT p_size, p_partkey, last_value(CASE WHEN p_partkey % 3 = 0 THEN p_brand END IGNORE NULLS) OVER (PARTITION BY p_size ORDER BY p_partkey) AS label FROM part""",
     "wrap_fold": f"""
