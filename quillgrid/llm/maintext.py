@@ -12,7 +12,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,12 +42,18 @@ NOT_NAMES = {"has", "with", "no", "without", "is", "not"}
 #: A name with one of these says how a page is laid out, as in content-sidebar-wrap or layout-sidebar-right.
 LAYOUT_NAMES = {"wrap", "wrapper", "wrapped", "layout", "left", "right"}
 CONTENT_NAMES = re.compile(r"^(?:article|articlebody|content|contents|entry|post|story|main|maintext|bodytext|text|prose|body)$")
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
+#: Names of what can itself be marked up as an article within a page: reader comments, adverts, notices.
+GUEST_NAMES = re.compile(r"^(?:ad|ads|adv|advert\w*|advertisement|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|related|hidden)$")
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What stands between a tag's name and its end. Only after = does a quote open a string.
+IN_TAG = re.compile(r"(?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+COMMENT_END = re.compile(r"--!?>")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 WHITE = re.compile(r"\s+")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’)\]]*(?:\s|$)")
 
 ADJACENT, SIBLING = 0.6, 0.9  # weights of the smoothness edges
+SCALE = 0.4  # of a block's own score; what its element says (7 or 4) still outweighs its edges, its text alone doesn't
 NAME_COST, FADE = 5.0, 0.15  # what a name of boilerplate costs, and the part of it that each element further inside leaves
 BY_NAME = -2  # the mark of an element whose name only says boilerplate
 
@@ -76,8 +82,14 @@ def names_of(attributes: dict[str, str]) -> list[str]:
 
 
 def mark_of(tag: str, raw: str) -> int:
-    """What an element says about its content; boilerplate outweighs. 2: an element or role for content says so."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw else {}
+    """What an element says about its content; boilerplate outweighs. 2: an element or role for content says so.
+
+    An element for content is boilerplate by its name only where guests (comments, adverts, notices) are named;
+    a name that has a word for content as well as one for other boilerplate, as post-popular, says nothing.
+    """
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
         return -1
     if tag in BOILER_TAGS or found.get("role", "").lower() in BOILER_ROLES:
@@ -91,16 +103,66 @@ def mark_of(tag: str, raw: str) -> int:
             continue
         if LAYOUT_NAMES.intersection(parts):
             continue
-        if any(BOILER_NAMES.match(p) for p in parts):
+        says_content = any(CONTENT_NAMES.match(p) for p in parts)
+        if any(GUEST_NAMES.match(p) for p in parts):
             return BY_NAME
-        named = named or any(CONTENT_NAMES.match(p) for p in parts)
+        if any(BOILER_NAMES.match(p) for p in parts):
+            if not content and not says_content:
+                return BY_NAME
+            continue
+        named = named or says_content
     return 2 if content else int(named)
 
 
+@dataclass
+class Reader:
+    """The tags of a page one after the other, each character looked at a bounded number of times.
+
+    A page may have a tag whose quotes don't end. From there on quotes are characters like any others.
+    """
+
+    page: str
+    plain: bool = False
+
+    def __post_init__(self) -> None:
+        self.last_end = self.page.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """start, end, whether it closes, name and attributes of the next tag; the name of a comment or declaration is empty."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                if page.startswith((">", "->"), start + 4):
+                    return start, page.index(">", start) + 1, False, "", ""
+                m = COMMENT_END.search(page, start + 4)
+                return start, m.end() if m else len(page), False, "", ""
+            if start > self.last_end:
+                at = page.find("<!--", start)  # nothing but a comment can end the page
+                if at < 0:
+                    return None
+                continue
+            if page.startswith(("<!", "<?"), start):
+                return start, page.index(">", start) + 1, False, "", ""
+            m = TAG_NAME.match(page, start + 1)
+            if not m:
+                at = start + 1
+                continue
+            end = -1
+            if not self.plain:
+                end = IN_TAG.match(page, m.end()).end()
+                if end >= len(page):
+                    self.plain, end = True, -1
+            if end < 0:
+                end = page.index(">", m.end())
+            return start, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+        return None
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     root = Container("#", None)
     stack = [root]
+    is_open: Counter[str] = Counter()
     inline_links = 0
     blocks: list[Block] = []
     now = Block("#", root)
@@ -121,6 +183,7 @@ def blocks_of(page: str) -> list[Block]:
                 now.link_chars += len(piece.strip())
 
     at, n = 0, len(page)
+    reader = Reader(page)
     skip_tag, skip_depth = "", 0
     while at < n:
         if skip_tag in OPAQUE:
@@ -128,16 +191,15 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else n
             skip_tag = ""
             continue
-        m = TAG.search(page, at)
-        start = m.start() if m else n
+        met = reader.next(at)
+        start = met[0] if met else n
         if not skip_tag:
             add(page[at:start])
-        if not m:
+        if not met:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, closing, tag, attributes = met
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if skip_tag:  # inside an element whose content doesn't show
             if tag == skip_tag:
                 skip_depth += -1 if closing else 1
@@ -145,13 +207,13 @@ def blocks_of(page: str) -> list[Block]:
                     skip_tag = ""
             elif skip_tag == "head" and tag in ("body", "article", "main", "nav", "div", "p", "header"):
                 skip_tag = ""
-                at = m.start()
+                at = start
             elif tag in OPAQUE and not closing:
                 end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else n
             continue
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 skip_tag, skip_depth = tag, 1
             continue
         if tag == "br":
@@ -167,8 +229,9 @@ def blocks_of(page: str) -> list[Block]:
         inline_links = 0
         if closing:
             flush(tag)
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if is_open[tag] else ():
                 if stack[k].tag == tag:
+                    is_open.subtract(x.tag for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k].tag in ("td", "th", "article", "main", "body") and tag in ("p", "li", "div", "span"):
@@ -177,10 +240,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         ends = SELF_CLOSING.get(tag, {"p"} if tag != "p" else set())
         while len(stack) > 1 and (stack[-1].tag in ends or stack[-1].tag == "p"):
-            stack.pop()
+            is_open[stack.pop().tag] -= 1
         if tag not in VOID:
             up = stack[-1]
-            own = mark_of(tag, m[3])
+            own = mark_of(tag, attributes)
             if tag == "header" and up.inside_content and own == -1:
                 own = 0  # an article's own header holds its title
             # A nested main or article starts anew; other names only fade the further inside a block is.
@@ -188,13 +251,14 @@ def blocks_of(page: str) -> list[Block]:
             inside = own != BY_NAME and (own == 2 or up.inside_content or (own == 1 and not up.name_cost))
             made = Container(tag, up, own, inside, up.boiler or own == -1, by_name)
             stack.append(made)
+            is_open[tag] += 1
         flush(tag)
     flush("#")
     return blocks
 
 
 def score(block: Block, page_has_content: bool) -> float:
-    """Log-odds that a block is content, from weights set by hand."""
+    """Log-odds that a block is content, from weights set by hand, on a scale on which edges can outweigh a block's own text."""
     text, where = block.text, block.where
     s = -0.4 - where.name_cost
     if where.boiler:
@@ -213,7 +277,7 @@ def score(block: Block, page_has_content: bool) -> float:
         s -= 2.5
     if where.tag == "header" and block.tag not in ("h1", "h2", "h3"):
         s -= 3.5
-    return s
+    return SCALE * s
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
