@@ -59,3 +59,29 @@ def unit_in(text: Column) -> Column:
 def like_needle(needle: str) -> str:
     """A needle for ilike in which % and _ stay wildcards and a backslash is itself."""
     return "%" + needle.replace("\\", "\\\\") + "%"
+
+
+def occupation_key(label: Column) -> Column:
+    """A label in lower case with anything but ASCII letters and digits as single blanks; empty for null."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def is_hierarchy_code(code: Column) -> Column:
+    """Whether a code has one to four digits, and further ones behind dots."""
+    return F.coalesce(F.trim(code).rlike(r"^[0-9]{1,4}(\.[0-9]+)*$"), F.lit(False))
+
+
+def id_key(raw: Column) -> Column:
+    """An id's capitals and digits."""
+    return F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "[^A-Z0-9]", "")
+
+
+def id_stem(raw: Column) -> Column:
+    """id_key without a trailing year and version."""
+    return id_key(F.regexp_replace(F.upper(raw), r"_[0-9]{4}_[A-Z0-9]+$", ""))
+
+
+def inventory_code(raw: Column) -> Column:
+    """A printed table number without the word for table and bracketed remarks; bracketed numbers stay."""
+    bare = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "TABLE", ""), r"\([^)0-9][^)]*\)", "")
+    return F.regexp_replace(bare, "[^A-Z0-9&]", "")

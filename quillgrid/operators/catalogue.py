@@ -88,3 +88,55 @@ def enrich_codes(rows: DataFrame, value: str, code_list: DataFrame) -> DataFrame
     keyed = code_list.withColumn("_key", F.lower(F.trim("value"))).withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
     keyed = keyed.select("_key", F.col("code").alias("Code"), F.col("definition").alias("Definition"))
     return rows.join(keyed, F.lower(F.trim(rows[value])) == keyed["_key"], "left").drop("_key")
+
+
+def prefer_own_codes(own: DataFrame, of_release: DataFrame, members: DataFrame) -> DataFrame:
+    """dataset, column, code and value: a dataset's own code list of a column, or else its release's.
+
+    own: dataset, column, code, value; of_release: release, column, code, value; members: dataset, release.
+    """
+    has_own = own.select("dataset", "column").distinct()
+    lent = members.join(of_release, "release").join(has_own, ["dataset", "column"], "left_anti")
+    return own.select("dataset", "column", "code", "value").unionByName(lent.select("dataset", "column", "code", "value"))
+
+
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def readable_id(*candidates: Column) -> Column:
+    """The first candidate that is neither blank nor a UUID; the last one, trimmed, where all are."""
+    trimmed = [F.trim(c.cast("string")) for c in candidates]
+    return F.coalesce(*(F.when((c != "") & ~c.rlike(UUID), c) for c in trimmed), trimmed[-1])
+
+
+def tables_of_releases(datasets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each dataset with its release, readable id, title, table id and row_count; titles and table ids fall back on the id.
+
+    datasets: dataset_id, unique_dataset_id, table_id, title, release; rows: dataset_id.
+    """
+    shown = readable_id(F.col("unique_dataset_id"), F.col("table_id"), F.col("dataset_id"))
+    found = with_counts(datasets.withColumn("id", shown), "dataset_id", rows, "dataset_id")
+    filled = {c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.col("id")) for c in ("title", "table_id")}
+    return found.select("release", "id", filled["title"].alias("title"), filled["table_id"].alias("table_id"), "row_count")
+
+
+def facet_filter(releases: DataFrame, facets: str, facet: str, columns: list[str], needle: str) -> DataFrame:
+    """Releases that carry a facet ("all": any) and in whose columns, joined by blanks, the needle occurs without regard to case."""
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
+    wanted = needle.strip().lower()
+    held = F.lit(True) if facet == "all" else F.coalesce(F.array_contains(facets, facet), F.lit(False))
+    return releases.where(held & (F.contains(text, F.lit(wanted)) if wanted else F.lit(True)))
+
+
+def keyword_chips(tags: Column, keywords: Column) -> Column:
+    """The distinct tags that say something, or else the distinct words of two characters or more of the keywords."""
+    said = F.array_distinct(F.filter(tags, lambda t: t.isNotNull() & (F.trim(t) != "") & (F.trim(t) != "—")))
+    words = F.array_distinct(F.filter(F.split(F.coalesce(keywords, F.lit("")), r"\s+"), lambda w: F.length(w) > 1))
+    return F.when(F.size(said) > 0, said).otherwise(words)
+
+
+def id_summary(ids: Column) -> Column:
+    """The first id that isn't blank, and how many more there are; empty without one."""
+    there = F.filter(ids, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    first = F.trim(F.get(there, F.lit(0)))
+    return F.when(F.size(there) == 0, "").when(F.size(there) == 1, first).otherwise(F.concat(first, F.lit(" +"), (F.size(there) - 1).cast("string"), F.lit(" more")))

@@ -333,6 +333,55 @@ def garbled_documents(spark: SparkSession, sf: str) -> DataFrame:
     return docs.where(F.col("text").rlike("[\ue000-\uf8ff]")).select("doc_id")
 
 
+def codes_prefer_own(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation")
+    members = nation.select(F.col("n_nationkey").alias("dataset"), F.col("n_regionkey").alias("release"))
+    own = nation.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("dataset"), F.lit("area").alias("column"), F.lit("N").alias("code"), F.col("n_name").alias("value"))
+    region = table(spark, sf, "region")
+    lent = region.select(F.col("r_regionkey").alias("release"), F.explode(F.array(F.lit("area"), F.lit("place"))).alias("column"), F.lit("R").alias("code"), F.col("r_name").alias("value"))
+    return catalogue.prefer_own_codes(own, lent, members)
+
+
+def release_tables(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    datasets = table(spark, sf, "customer").select(
+        key.cast("string").alias("dataset_id"),
+        F.when(key % 3 == 0, F.lit("0f8fad5b-d9cb-469f-a165-70867728950e")).when(key % 3 == 1, F.concat(F.lit(" DS-"), key)).alias("unique_dataset_id"),
+        F.when(key % 2 == 0, F.concat(F.lit("T-"), key)).otherwise("").alias("table_id"),
+        F.when(key % 5 != 0, F.col("c_name")).alias("title"),
+        F.col("c_nationkey").alias("release"),
+    )
+    return catalogue.tables_of_releases(datasets, table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("dataset_id")))
+
+
+def release_facet_filter(spark: SparkSession, sf: str) -> DataFrame:
+    held = table(spark, sf, "part").groupBy("p_name").agg(F.collect_set("p_type").alias("facets"), F.min("p_brand").alias("brand"))
+    return catalogue.facet_filter(held, "facets", "PROMO", ["p_name", "brand"], " RING").select("p_name", "brand")
+
+
+def keyword_chips(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey")
+    tags = F.when(key % 2 == 0, F.array("p_type", F.lit(" "), "p_type", F.lit("—"), "p_brand")).otherwise(F.array(F.lit("—"), F.lit(None)))
+    chips = catalogue.keyword_chips(tags, F.concat_ws("  ", "p_name", F.lit("x"), "p_name", "p_brand"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(chips, "|").alias("chips"))
+
+
+def dataset_id_summary(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 4 != 0, F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).otherwise("")))
+    return table(spark, sf, "nation").groupBy((F.col("n_nationkey") % 9).alias("part")).agg(catalogue.id_summary(ids).alias("summary"))
+
+
+def occupation_keys(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.concat_ws(" / ", F.upper("p_type"), "p_name", F.concat(F.lit("("), F.col("p_brand"), F.lit(")")))
+    code = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(".", F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.col("p_partkey").cast("string")).otherwise(F.col("p_type"))
+    return table(spark, sf, "part").select("p_partkey", T.occupation_key(label).alias("label_key"), T.is_hierarchy_code(code).alias("coded"))
+
+
+def id_keys(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("b-"), F.col("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, "_2021_V1").otherwise(" (Provisional) Table (3)"))
+    return table(spark, sf, "part").select("p_partkey", T.id_key(raw).alias("id_key"), T.id_stem(raw).alias("id_stem"), T.inventory_code(raw).alias("inventory_code"))
+
+
 QUERIES: dict[str, Query] = {name: found for name, found in list(globals().items()) if name in SQL}
 
 

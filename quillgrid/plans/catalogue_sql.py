@@ -128,6 +128,29 @@ SQL: dict[str, str] = {
         SELECT * FROM exact UNION ALL
         SELECT table_id, CASE WHEN n = 1 AND r = 1 THEN item_id END, CASE WHEN n = 1 AND r = 1 THEN 'stem' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END FROM m""",
     "leftover_inventory": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "codes_prefer_own": """
+        SELECT n_nationkey AS dataset, c AS "column", CASE WHEN n_nationkey % 3 = 0 AND c = 'area' THEN 'N' ELSE 'R' END AS code,
+               CASE WHEN n_nationkey % 3 = 0 AND c = 'area' THEN n_name ELSE r_name END AS value
+        FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('area'), ('place')) AS v(c)""",
+    "release_tables": """
+        WITH d AS (SELECT *, CASE WHEN c_custkey % 3 = 1 THEN 'DS-' || c_custkey WHEN c_custkey % 2 = 0 THEN 'T-' || c_custkey ELSE c_custkey::VARCHAR END AS id FROM customer)
+        SELECT c_nationkey AS release, id, CASE WHEN c_custkey % 5 <> 0 THEN c_name ELSE id END AS title,
+               CASE WHEN c_custkey % 2 = 0 THEN 'T-' || c_custkey ELSE id END AS table_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS row_count FROM d""",
+    "release_facet_filter": """
+        SELECT p_name, min(p_brand) AS brand FROM part GROUP BY p_name
+        HAVING bool_or(p_type = 'PROMO') AND contains(lower(p_name || ' ' || min(p_brand)), 'ring')""",
+    "keyword_chips": """
+        SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type || '|' || p_brand ELSE replace(p_name, ' ', '|') || '|' || p_brand END AS chips FROM part""",
+    "dataset_id_summary": """
+        WITH n AS (SELECT n_nationkey % 9 AS part, min(n_nationkey) FILTER (n_nationkey % 4 <> 0) AS lo, count(*) FILTER (n_nationkey % 4 <> 0) AS n FROM nation GROUP BY 1)
+        SELECT part, CASE WHEN n = 0 THEN '' ELSE lpad(lo::VARCHAR, 3, '0') || CASE WHEN n > 1 THEN ' +' || (n - 1) || ' more' ELSE '' END END AS summary FROM n""",
+    "occupation_keys": r"""
+        SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type || ' / ' || p_name || ' / (' || p_brand || ')'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS label_key,
+               CASE p_partkey % 3 WHEN 0 THEN p_size < 10000 WHEN 1 THEN p_partkey < 10000 ELSE false END AS coded FROM part""",
+    "id_keys": """
+        SELECT p_partkey, 'B' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '2021V1' ELSE 'PROVISIONALTABLE3' END AS id_key,
+               'B' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'PROVISIONALTABLE3' END AS id_stem,
+               'B' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '2021V1' ELSE '3' END AS inventory_code FROM part""",
     "title_pair_compatible": f"""
         WITH t AS (SELECT title, {TOKENS.format('title')} AS ts FROM (SELECT DISTINCT p_name || ' by ' || p_type || ' total' AS title FROM part)),
         p AS (SELECT a.title AS first, b.title AS second, len(list_intersect(a.ts, b.ts)) AS shared, least(len(a.ts), len(b.ts)) AS small FROM t a JOIN t b ON a.title < b.title)
