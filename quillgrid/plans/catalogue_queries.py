@@ -201,12 +201,22 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
 
 
+def neighbouring_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors, of which the second and third of every four lie close to the first."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("own"))
+    turn = F.col("vec_id") % 4
+    first = vectors.where(turn == 0).select(F.col("vec_id").alias("first_id"), F.col("own").alias("first"))
+    near = F.transform("first", lambda x, i: x + 0.01 * turn * (i % 3 - 1))
+    joined = vectors.join(first, (F.col("vec_id") - turn == F.col("first_id")) & turn.isin(1, 2), "left")
+    return joined.select("vec_id", F.coalesce(near, F.col("own")).alias("embedding"))
+
+
 def knn_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.knn_edges(table(spark, sf, "embeddings"), 8, 0.42)
+    return matching.knn_edges(neighbouring_vectors(spark, sf), 8, 0.42)
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
+    vectors = neighbouring_vectors(spark, sf)
     return matching.components(vectors.select(F.col("vec_id").alias("id")), matching.knn_edges(vectors, 2, 0.25))
 
 
