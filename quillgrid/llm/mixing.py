@@ -193,7 +193,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     that clash with an added one give way to it.
     """
     docs = docs.drop(*ADDED)
-    hidden = {c: free_name(docs, f"kept_{i}") for i, c in enumerate(docs.columns) if c.startswith("m_")}
+    hidden = {c: free_name(docs, f"kept_{i}") for i, c in enumerate(docs.columns) if c.lower().startswith("m_")}
     names, docs = docs.columns, docs.withColumnsRenamed(hidden)
     rows = docs.withColumns(
         {
