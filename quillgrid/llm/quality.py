@@ -220,7 +220,7 @@ def keep_good(docs: DataFrame, cutoff: float = 36.0, least_words: int = 50, most
     The counts are made twice, for the estimates and for the verdicts, so that texts are never shuffled.
     """
     taken = set(docs.columns)
-    prefixed = [c for c in taken if c.startswith("q_") or c in {"n", "median"} or c.startswith(("mu_", "l_"))]
+    prefixed = [c for c in taken if c.lower() in {"n", "median"} or c.lower().startswith(("q_", "mu_", "l_"))]
     if prefixed:  # columns whose names the operator uses itself
         hidden = {c: free_name(docs, f"kept_{i}") for i, c in enumerate(sorted(prefixed))}
         back = {v: k for k, v in hidden.items()}
