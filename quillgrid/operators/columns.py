@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgrid.functions.labels import is_junk_name, is_page_like
 from quillgrid.functions.text import is_numeric, is_placeholder, is_plain_number, slug
 
 
@@ -49,16 +50,18 @@ def facet_counts(rows: DataFrame, owner: str, dimension: str, value: str) -> Dat
 
 
 def discover_dimensions(cells: DataFrame, least: int = 2, most: int = 80) -> DataFrame:
-    """Columns that look like categories: from 2 to 80 texts without regard to case, not free text, not serials."""
+    """Columns that look like categories: from 2 to 80 texts without regard to case, not free text, pages or serials, by values and names."""
     bare = F.trim("value")
-    texts = cells.where(F.col("value").isNotNull() & (bare != "")).select("table_name", "column_name", bare.alias("v"))
+    texts = cells.where(F.col("value").isNotNull() & (bare != "") & ~is_junk_name(F.col("column_name"))).select("table_name", "column_name", bare.alias("v"))
     per_value = texts.groupBy("table_name", "column_name", F.lower("v").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("spelling"))
     counted = per_value.withColumn("plain", is_plain_number(F.col("low")))
     found = counted.groupBy("table_name", "column_name").agg(
-        F.sum("n").alias("n_values"), F.count_if(~F.col("plain")).alias("n_distinct"), F.avg(F.when(~F.col("plain"), F.length("spelling"))).alias("mean_length")
+        F.sum("n").alias("n_values"), F.count_if(~F.col("plain")).alias("n_distinct"), F.avg(F.when(~F.col("plain"), F.length("spelling"))).alias("mean_length"),
+        F.count_if(~F.col("plain") & is_page_like(F.col("spelling"))).alias("n_pages"),
     )
     free = (F.col("n_distinct") >= 8) & (F.col("n_distinct") / F.col("n_values") >= 0.85) & (F.col("mean_length") >= 24)
-    return found.where(F.col("n_distinct").between(least, most) & ~F.coalesce(free, F.lit(False))).select("table_name", F.regexp_replace("column_name", r"\s+", "_").alias("dimension"), "n_distinct")
+    pages = F.col("n_pages") >= F.greatest(F.lit(2), F.floor(0.8 * F.col("n_distinct")))
+    return found.where(F.col("n_distinct").between(least, most) & ~pages & ~F.coalesce(free, F.lit(False))).select("table_name", F.regexp_replace("column_name", r"\s+", "_").alias("dimension"), "n_distinct")
 
 
 def value_sets(cells: DataFrame, names: list[str]) -> DataFrame:
@@ -85,6 +88,11 @@ def near_sets(values: DataFrame, key: str, least_jaccard: float = 0.85, least_co
     return pairs.select("a", "b", F.round(jaccard, 4).alias("jaccard"), F.round(contained, 4).alias("contained"), near.alias("near"))
 
 
+def curated_over_guessed(guessed: DataFrame, curated: DataFrame, dimension: str) -> DataFrame:
+    """The curated entries, and the guessed ones of dimensions that aren't curated; both have the same columns."""
+    return curated.unionByName(guessed.join(curated.select(dimension).distinct(), dimension, "left_anti"))
+
+
 def code_list_union(entries: DataFrame) -> DataFrame:
     """One entry for each dimension and value: the first code and definition that aren't blank, by ord."""
     by_ord = W.partitionBy("dimension", F.lower(F.trim("value"))).orderBy("ord").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

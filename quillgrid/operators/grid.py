@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgrid.functions.labels import is_banner
+
 
 def blocks_by_gap(rows: DataFrame, unit: str, order: str, blank: str) -> DataFrame:
     """The rows of each block of a unit, with block, its number from 0.
@@ -24,6 +26,12 @@ def blocks_by_gap(rows: DataFrame, unit: str, order: str, blank: str) -> DataFra
     return inside.withColumn("block", F.dense_rank().over(W.partitionBy(unit).orderBy("_run")) - 1).drop("_at", "_last", "_run", "_from", "_to")
 
 
+def strip_banners(rows: DataFrame, unit: str, order: str, cells: str) -> DataFrame:
+    """rows without those at the start of a unit that only repeat one label; cells is an array of text."""
+    so_far = F.min(F.coalesce(is_banner(F.col(cells)), F.lit(False))).over(W.partitionBy(unit).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_banner", so_far).where("not _banner").drop("_banner")
+
+
 def fill_forward(rows: DataFrame, unit: str, order: str, column: str) -> DataFrame:
     """rows with a merged label repeated over the blank cells that follow it."""
     value = F.when(F.trim(column) != "", F.col(column))

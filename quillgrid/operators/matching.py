@@ -171,6 +171,12 @@ def shortlist(scored: DataFrame, owner: str, level: str, score: str, key: str, q
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy(owner).orderBy(F.desc(score), key))).where(F.col("rank") <= best).drop("_in_level", "_overall")
 
 
+def alternatives(scored: DataFrame, owner: str, score: str, key: str, chosen: DataFrame, most: int = 4) -> DataFrame:
+    """For each owner, the best candidates but the chosen ones (owner, key), with rank; ties by key."""
+    rank = F.row_number().over(W.partitionBy(owner).orderBy(F.desc(score), key))
+    return scored.join(chosen.select(owner, key).distinct(), [owner, key], "left_anti").withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def hierarchy_nodes(leaves: DataFrame, levels: list[tuple[str, str, str]]) -> DataFrame:
     """level, code, title and parent of each node of a hierarchy given by its leaves; (level, code column, title column) from the top."""
     nodes = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
 from quillgrid.operators import catalogue, columns, grid, matching, publish
+from quillgrid.plans import label_queries
 from quillgrid.plans.catalogue_sql import SQL
 from quillgrid.session import table
 from quillgrid.sources import readers
@@ -396,8 +397,8 @@ QUERIES: dict[str, Query] = {name: found for name, found in list(globals().items
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | label_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | label_queries.oracle_sql()
