@@ -12,7 +12,7 @@ def lloyd(rounds: int, parts: int = 16, entries: int = 64) -> str:
     """Codes, errors and the digest of the codebooks after so many Lloyd rounds over whole numbers."""
 
     def assigned(book: str) -> str:
-        far = "list_sum(list_transform(range(1, len(x) + 1), j -> (x[j] - c[j]) * (x[j] - c[j])))"
+        far = "list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))"
         return f"""SELECT r, p, min(struct_pack(d, e)) AS best FROM (SELECT r, v.p AS p, e, ({far})::BIGINT AS d FROM v JOIN {book} b ON b.p = v.p) GROUP BY r, p"""
 
     steps = []
@@ -25,8 +25,8 @@ def lloyd(rounds: int, parts: int = 16, entries: int = 64) -> str:
     between = "".join(f"{x},\n        " for x in steps)
     return f"""
         WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label,
-                list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         v AS MATERIALIZED (SELECT r, p, w[p * (len(w) // {parts}) + 1:(p + 1) * (len(w) // {parts})] AS x FROM (SELECT r, w, unnest(range({parts})) AS p FROM k)),
         b0 AS MATERIALIZED (SELECT p, r AS e, x AS c FROM v WHERE r < {entries}),
         {between}f AS MATERIALIZED ({assigned(f"b{rounds}")}),
