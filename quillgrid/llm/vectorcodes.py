@@ -71,21 +71,21 @@ def kd_tree(points: np.ndarray) -> tuple[np.ndarray, list[Level]]:
 
 def nearest_entry(points: np.ndarray, entries: np.ndarray, open_: np.ndarray) -> np.ndarray:
     """For each point the index of the nearest entry among those open to it; the lower one of equals."""
-    gap = points[:, None, :] - entries[None, :, :]
-    far = (gap * gap).sum(axis=2)
-    far[~open_] = np.iinfo(np.int64).max
-    return far.argmin(axis=1)
+    # The square of the point itself is the same for all entries, so it is left out.
+    far = (entries * entries).sum(axis=1) - points @ (2 * entries.T)
+    return np.where(open_, far, np.iinfo(np.int64).max).argmin(axis=1)
 
 
 def surviving(low: np.ndarray, high: np.ndarray, entries: np.ndarray, open_: np.ndarray) -> np.ndarray:
     """Which of the open entries can be the nearest one of some point in each box."""
     # Doubled numbers keep the middle of a box whole.
     best = nearest_entry(low + high, 2 * entries, open_)
-    chosen = entries[best]
-    toward = entries[None, :, :] > chosen[:, None, :]
-    corner = np.where(toward, high[:, None, :], low[:, None, :])
-    own, other = corner - chosen[:, None, :], corner - entries[None, :, :]
-    ahead = (other * other).sum(axis=2) - (own * own).sum(axis=2)
+    ahead = np.zeros(open_.shape, np.int64)
+    for d in range(entries.shape[1]):
+        other, own = entries[None, :, d], entries[best, d][:, None]
+        toward = other - own
+        corner = np.where(toward > 0, high[:, d, None], low[:, d, None])
+        ahead += toward * (other + own - 2 * corner)
     beaten = (ahead > 0) | ((ahead == 0) & (np.arange(len(entries))[None, :] > best[:, None]))
     return open_ & ~beaten
 
@@ -251,7 +251,9 @@ def compressed(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     2^26 after scaling raise an error, as their distances don't fit 64 bits. Other columns aren't read.
     """
     books = trained(vectors, key, vector, parts, entries, rounds, scale)
-    found = encoded(vectors.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_vector")), books, "_vector", scale).drop("_vector")
+    found = encoded(vectors.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_vector")), books, "_vector", scale)
+    # Codes are a fraction of the vectors' size, and both the labels' sums and the result read them.
+    found = cut(found.drop("_vector"))
     totals = cut(found.groupBy(F.col("_label").alias("_same")).agg(F.sum("error").alias("label_error")))
     sums = F.broadcast(totals) if totals.count() <= BROADCAST_LABELS else totals
     joined = found.join(sums, F.col("_label").eqNullSafe(F.col("_same")))
