@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontaminate, licenses, linededup, lm, maintext, mixing, quality, secrets, simhash, tokens, variants, vectorcodes
+from quillgrid.llm import decontaminate, licenses, linededup, lm, maintext, mixing, quality, secrets, simhash, tokens, toxicity, variants, vectorcodes
 from quillgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"), noise=199, shortest=6, least=5, ratio=5)
 
@@ -87,5 +91,6 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling_variants": op13_spelling_variants,
 }
