@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
 from quillgrid.operators import catalogue, columns, grid, matching, publish
-from quillgrid.plans import label_queries
+from quillgrid.plans import header_queries, label_queries
 from quillgrid.plans.catalogue_sql import SQL
 from quillgrid.session import table
 from quillgrid.sources import readers
@@ -396,9 +396,19 @@ def id_keys(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {name: found for name, found in list(globals().items()) if name in SQL}
 
 
+#: Modules that hold further queries and their SQL, as QUERIES and SQL.
+MORE = (header_queries,)
+
+
 def queries() -> dict[str, Query]:
-    return QUERIES | label_queries.queries()
+    found = QUERIES | label_queries.queries()
+    for module in MORE:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | label_queries.oracle_sql()
+    found = SQL | label_queries.oracle_sql()
+    for module in MORE:
+        found |= module.SQL
+    return found
