@@ -59,8 +59,12 @@ def pieces(word: Column) -> Column:
 
 def parts_at(word: Column, sizes: tuple[int, ...]) -> Column:
     """Each part of a word of one of these sizes, with its place."""
-    n = F.length(word)
-    return F.flatten(F.array(*(F.transform(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>")), lambda p, k=k: F.struct(F.substring(word, p + 1, F.lit(k)).alias("text"), p.alias("place"))) for k in sizes)))
+
+    def of_size(k: int) -> Column:
+        places = F.when(F.length(word) >= k, F.sequence(F.lit(0), F.length(word) - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(F.substring(word, p + 1, F.lit(k)).alias("text"), p.alias("place")))
+
+    return F.flatten(F.array(*map(of_size, sizes)))
 
 
 def fits(asked: Column, word: Column) -> Column:

@@ -75,7 +75,7 @@ def inferred(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     last = body.groupBy(unit).agg(F.max("row").alias("last_row"))
     whole = body.join(roles, unit).join(last, unit)
     labelled = F.zip_with("said", "label", lambda v, is_label: v.isNotNull() & is_label)
-    whole = whole.withColumn("first_label", F.array_position(labelled, True) - 1)
+    whole = whole.withColumn("first_label", F.nullif(F.array_position(labelled, True), F.lit(0)) - 1)
     sums = F.exists(F.zip_with("said", "label", lambda v, is_label: is_label & is_sum(v)), lambda x: x)
     no_figures = F.exists("label", lambda x: ~x) & F.forall(F.zip_with("said", "label", lambda v, is_label: is_label | v.isNull()), lambda x: x)
     wordy = F.exists(F.zip_with("said", "label", lambda v, is_label: is_label & v.isNotNull() & ~F.coalesce(is_plain_figure(v), F.lit(False))), lambda x: x)
