@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import replies
-from quillgrid.operators import repairs
+from quillgrid.operators import repairs, stacked
 from quillgrid.session import table
 
 #: Texts that both engines read.
@@ -115,3 +115,29 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"glued_spread": glued_spread, "phantom_columns": phantom_columns, "parent_columns": parent_columns, "json_extracted": json_extracted}
+
+
+def stacked_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Grids of parts whose readers have stacked rows: with sexes, without, and with figures left to the next row."""
+    n = F.lit("\n")
+    part = table(spark, sf, "part")
+    key, name = F.col("p_partkey"), F.initcap("p_name")
+    title = F.concat(name, F.lit(" (A"), key % 90, F.lit(")"))
+    wrapped = F.concat(F.lit("Other "), F.col("p_name"), F.lit(" and"), n, F.lit("its kind (B"), key % 90, F.lit(")"))
+    figures = [F.concat_ws("\n", *((key % (7 + i + j)).cast("string") for i in range(4))) for j in range(3)]
+    head = F.array(*map(F.lit, ("No.", "Name", "Sex", "Young", "Old")))
+    sexed = F.array(F.concat(key, n, key + 1), F.concat(title, n, wrapped), F.lit("M\nF\nM\nF"), figures[0], figures[1])
+    short = F.array(F.concat(key, n, key + 1), F.concat(title, n, F.upper("p_name")), F.lit("M\nF\n0M\nF"), (key % 5).cast("string"), (key % 6).cast("string"))
+    rest = F.array(F.lit(""), F.lit(None).cast("string"), F.lit(""), F.concat_ws("\n", *((key % k).cast("string") for k in (3, 4, 5))), F.concat_ws("\n", *((key % k).cast("string") for k in (6, 7, 8))))
+    bare = F.array(F.lit("Region"), F.lit("Cause"), F.lit("A"), F.lit("B"), F.lit("C"))
+    plain = F.array(F.col("p_brand"), F.concat(title, n, wrapped, n, F.lit("Total")), figures[2], figures[0], F.lit("x"))
+    grids = F.when(key % 3 == 0, F.array(head, sexed)).when(key % 3 == 1, F.array(head, short, rest)).otherwise(F.array(bare, plain))
+    return part.select(key.alias("unit"), F.posexplode(grids).alias("row", "cells"))
+
+
+def stacked_apart(spark: SparkSession, sf: str) -> DataFrame:
+    found = stacked.expanded(stacked_grids(spark, sf), "unit")
+    return found.select("unit", "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
+
+
+QUERIES["stacked_apart"] = stacked_apart
