@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import replies
-from quillgrid.operators import repairs, stacked
+from quillgrid.operators import repairs, stacked, tables
 from quillgrid.session import table
 
 #: Texts that both engines read.
@@ -141,3 +141,38 @@ def stacked_apart(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["stacked_apart"] = stacked_apart
+
+
+def share_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each size's parts as rows of a table in which some rows hold shares only."""
+    key = F.col("p_partkey")
+    share = F.concat(F.lit("("), key, F.lit(".5)"))
+    sparse = F.array(F.lit(""), F.when(key % 2 == 0, share), F.when(key % 3 == 0, share).when(key % 7 == 0, "-"), F.when(key % 11 == 0, share))
+    plain = F.array("p_name", key.cast("string"), F.when(key % 13 == 0, "x").otherwise(F.col("p_size").cast("string")), F.when(key % 4 == 0, key.cast("string")))
+    rows = table(spark, sf, "part").select(F.col("p_size").alias("unit"), key.alias("row"), F.when(key % 3 == 1, plain).otherwise(sparse).alias("cells"))
+    return rows, rows.select("unit").distinct().select("unit", F.posexplode(F.array(*map(F.lit, ("Name", "A", "B", "C")))).alias("col", "name"))
+
+
+def shares_folded(spark: SparkSession, sf: str) -> DataFrame:
+    found = tables.shares_folded(*share_rows(spark, sf), "unit")
+    return found.select("unit", "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
+
+
+def tables_built(spark: SparkSession, sf: str) -> DataFrame:
+    rows, columns = tables.built(stacked_grids(spark, sf), "unit")
+    names = columns.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "name"))), lambda x: x["name"]).alias("names"))
+    return rows.join(names, "unit").select("unit", "row", F.array_join("names", "|").alias("names"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
+
+
+QUERIES |= {"shares_folded": shares_folded, "tables_built": tables_built}
+#: Two of three rows are sparse, so a share meets at most one figure and a row at most two rows of shares.
+SQL["shares_folded"] = """WITH r AS (SELECT p_size AS unit, p_partkey AS k, p_partkey % 3 = 1 AS plain, '(' || p_partkey || '.5)' AS sh, p_name, p_size FROM part),
+    c AS (SELECT unit, k, plain, CASE WHEN plain THEN p_name ELSE '' END AS c0, CASE WHEN plain THEN k::VARCHAR WHEN k % 2 = 0 THEN sh ELSE '' END AS c1,
+                 CASE WHEN plain THEN CASE WHEN k % 13 = 0 THEN 'x' ELSE p_size::VARCHAR END WHEN k % 3 = 0 THEN sh WHEN k % 7 = 0 THEN '-' ELSE '' END AS c2, CASE WHEN plain THEN CASE WHEN k % 4 = 0 THEN k::VARCHAR ELSE '' END WHEN k % 11 = 0 THEN sh ELSE '' END AS c3 FROM r),
+    f AS (SELECT *, NOT plain AND (c1 <> '')::INT + (c2 NOT IN ('', '-'))::INT + (c3 <> '')::INT = 1 AS sparse FROM c),
+    b AS (SELECT *, max(k) FILTER (NOT sparse) OVER (PARTITION BY unit ORDER BY k) AS base FROM f),
+    j AS (SELECT b.*, coalesce(b.sparse AND p.plain, false) AS joins FROM b LEFT JOIN b p ON p.unit = b.unit AND p.k = b.base),
+    o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY k) - 1 AS row_no FROM j WHERE NOT joins),
+    s AS (SELECT unit, base, string_agg(nullif(c1, ''), ' ' ORDER BY k) AS s1, string_agg(CASE WHEN c2 NOT IN ('', '-') THEN c2 END, ' ' ORDER BY k) AS s2, string_agg(nullif(c3, ''), ' ' ORDER BY k) AS s3 FROM j WHERE joins GROUP BY 1, 2)
+    SELECT o.unit AS unit, row_no::INT AS "row", c0 || '|' || trim(c1 || coalesce(' ' || s1, '')) || '|' || trim(c2 || coalesce(' ' || s2, '')) || '|' || trim(c3 || coalesce(' ' || s3, '')) AS cells
+    FROM o LEFT JOIN s ON s.unit = o.unit AND s.base = o.k"""
