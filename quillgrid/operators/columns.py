@@ -64,10 +64,6 @@ def discover_dimensions(cells: DataFrame, least: int = 2, most: int = 80) -> Dat
     return found.where(F.col("n_distinct").between(least, most) & ~pages & ~F.coalesce(free, F.lit(False))).select("table_name", F.regexp_replace("column_name", r"\s+", "_").alias("dimension"), "n_distinct")
 
 
-def value_sets(cells: DataFrame, names: list[str]) -> DataFrame:
-    return cells.groupBy(*names).agg(F.collect_set(F.lower(F.trim("value"))).alias("values"))
-
-
 def near_sets(values: DataFrame, key: str, least_jaccard: float = 0.85, least_contained: float = 0.9) -> DataFrame:
     """Pairs of keys whose value sets nearly agree, or whose names do.
 
@@ -105,10 +101,17 @@ def code_list_union(entries: DataFrame) -> DataFrame:
 
 
 def equivalent_columns(cells: DataFrame) -> DataFrame:
-    """Groups of columns with the same set of values, by a fingerprint of the sorted set."""
+    """Groups of columns with the same set of values, without regard to case.
+
+    Columns are told apart by how many values they have and the sum of the values' hashes; only the sets of columns that
+    agree in both are gathered and compared.
+    """
     each = cells.where(F.trim("value") != "").select(F.concat_ws(".", "table_name", "column_name").alias("name"), F.lower(F.trim("value")).alias("v")).distinct()
-    prints = each.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5("v"), 1, 8), 16, 10).cast("long")).alias("h"))
-    return prints.groupBy("n", "h").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"), F.count(F.lit(1)).alias("n_columns")).where("n_columns > 1").select("members", "n_columns", F.col("n").alias("n_values"))
+    prints = each.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("h"))
+    alike = prints.join(prints.groupBy("n", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), ["n", "h"]).select("name")
+    sets = each.join(alike, "name", "left_semi").groupBy("name").agg(F.array_sort(F.collect_set("v")).alias("values"))
+    found = sets.groupBy("values").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"), F.count(F.lit(1)).alias("n_columns"))
+    return found.where("n_columns > 1").select("members", "n_columns", F.size("values").cast("long").alias("n_values"))
 
 
 def profile(cells: DataFrame) -> DataFrame:

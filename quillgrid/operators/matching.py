@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,15 +30,17 @@ def base_title_groups(items: DataFrame, key: str, title: str) -> DataFrame:
 
 
 def tiered_match(tables: DataFrame, inventory: DataFrame) -> DataFrame:
-    """table_id, item_id and confidence: exact where ids agree, else stem where a stem has one free item.
+    """table_id, item_id and confidence by two of the tiers of inventory.matched(): exact where ids agree, else stem where a stem has one free item.
 
-    tables: table_id; inventory: item_id. A stem is an id without its last letter or bracketed number.
-    An item is used once: items taken by exact matches are no longer free.
+    tables: table_id; inventory: item_id, each once. A stem is an id without its last letter or bracketed number.
+    An item is used once: of tables that read like it the first takes it, and it is no longer free.
     """
     def stem(c: str) -> Column:
         return slug(F.regexp_replace(F.upper(F.trim(F.col(c))), r"(?:\([0-9]+\)|[A-Z])$", ""))
 
-    exact = tables.join(inventory, slug(F.col("table_id")) == slug(F.col("item_id"))).select("table_id", "item_id", F.lit("exact").alias("confidence"))
+    takers = tables.groupBy(slug(F.col("table_id")).alias("s")).agg(F.min("table_id").alias("table_id"))
+    offers = inventory.groupBy(slug(F.col("item_id")).alias("s")).agg(F.max("item_id").alias("item_id"))
+    exact = takers.join(offers, "s").select("table_id", "item_id", F.lit("exact").alias("confidence"))
     left = tables.join(exact, "table_id", "left_anti").select("table_id", stem("table_id").alias("s"))
     free = inventory.join(exact, "item_id", "left_anti").select("item_id", stem("item_id").alias("s"))
     one = free.groupBy("s").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n"))
@@ -81,29 +86,63 @@ def unit(v: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """query_id, vec_id, distance and rank of the k nearest vectors of each query; ties by vec_id.
+    """query_id, vec_id, distance (to six places) and rank of the k nearest vectors of each query; ties by vec_id.
 
-    queries and vectors: vec_id and embedding. The queries go, in blocks of bounded size, to all
-    vectors; each partition keeps its own k best for each query before anything is shuffled, by
-    aggregates that hold k places.
+    queries and vectors: vec_id and embedding. The queries go, in blocks of bounded size, to where the vectors are; for
+    each batch of vectors a task keeps the k best of each query, and only those are shuffled to be ranked. A vector isn't
+    near itself; null vectors have no row, and vectors of another length or of length zero are at distance one.
     """
     asked = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
     there = vectors.where("embedding is not null").select("vec_id", unit(F.col("embedding")).alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    parts = []
+    blocks = max(1, -(-asked.count() // block))
+    schema = there.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("distance")).schema
+    schema["query_id"].dataType = asked.schema["query_id"].dataType
+    found = None
     for b in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        distance = F.when(F.size("q") == F.size("v"), 1 - dot(F.col("q"), F.col("v"))).otherwise(1.0)
-        met = there.join(F.broadcast(some), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(distance, 6).alias("distance"))
-        spread = met.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-        own = W.partitionBy("query_id", "_part").orderBy("distance", "vec_id")
-        best = spread.withColumn("_rank", F.row_number().over(own)).where(F.col("_rank") <= k).drop("_part", "_rank")
-        parts.append(best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        part = there.mapInArrow(best_of_batches(some.column("query_id").to_pylist(), some.column("q").to_pylist(), k), schema)
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def best_of_batches(ids: list, asked: list[list[float]], k: int):
+    """A function over batches of vectors (vec_id, v) that gives the k nearest of each batch for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = {len(q) for q in asked}
+        sides = {n: ([i for i, q in enumerate(asked) if len(q) == n], np.array([q for q in asked if len(q) == n], np.float64)) for n in lengths}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys, held = part.column("vec_id").to_pylist(), part.column("v").to_pylist()
+                far = np.ones((len(asked), len(keys)))
+                for n, (rows, q) in sides.items():
+                    columns = [j for j, v in enumerate(held) if len(v) == n]
+                    if columns and n:
+                        far[np.ix_(rows, columns)] = np.round(1 - q @ np.array([held[j] for j in columns], np.float64).T, 6)
+                place = {key: j for j, key in enumerate(keys)}
+                for i, own in enumerate(ids):
+                    if own in place:
+                        far[i, [j for j, key in enumerate(keys) if key == own]] = np.inf
+                order = np.argsort(np.argsort(np.array(keys, object), kind="stable"), kind="stable") if keys else np.zeros(0, int)
+                rows, columns = closest(far, order, k)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.array(ids).type), pa.array([keys[j] for j in columns], part.column("vec_id").type), pa.array(far[rows, columns])], ["query_id", "vec_id", "distance"])
+
+    return run
+
+
+def closest(far: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least finite entries of each row of a matrix; of equal ones those that come first in order."""
+    if not far.size:
+        return np.zeros(0, int), np.zeros(0, int)
+    last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+    rows, columns = np.nonzero((far <= last[:, None]) & np.isfinite(far))
+    ranked = np.lexsort((order[columns], far[rows, columns], rows))
+    rows, columns = rows[ranked], columns[ranked]
+    begins = np.searchsorted(rows, np.arange(len(far)))
+    kept = np.arange(len(rows)) - begins[rows] < k
+    return rows[kept], columns[kept]
 
 
 def knn_edges(vectors: DataFrame, k: int = 8, most: float = 0.42) -> DataFrame:

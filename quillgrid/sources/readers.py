@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 KINDS = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json", "orc": "orc", "xlsx": "sheet", "xls": "sheet", "pdf": "pdf"}
 # Fixed words: what a read-only statement may begin with, and what it may not hold.
-MAY_BEGIN = ("select", "with", "show", "explain")
-MAY_NOT_HOLD = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "merge", "copy", "call", "vacuum")
+MAY_BEGIN = ("select", "with", "table", "values", "show", "explain")
+MAY_NOT_HOLD = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "merge", "copy", "call", "vacuum", "execute", "do", "reindex", "cluster", "comment", "security", "set role", "set session")
 
 
 def kind_of(name: str, hint: str | None = None) -> str:
@@ -33,15 +33,27 @@ def read(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:
     return spark.read.format(kind).load(path)
 
 
+#: Texts in quotes, and comments, which are none inside of such.
+QUOTED = r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`"""
+COMMENT = r"--[^\n]*|/\*.*?\*/"
+
+
 def gate(statement: str) -> str:
-    """A single read-only statement without its last semicolon; anything else is an error."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", statement, flags=re.DOTALL).strip().rstrip(";").strip()
+    """A single read-only statement without comments and its last semicolon; anything else is an error.
+
+    What stands in quotes stays as it is, and counts: a word or semicolon that isn't allowed isn't there either.
+    """
+    bare = re.sub(f"({QUOTED})|{COMMENT}", lambda m: m[1] or " ", statement or "", flags=re.DOTALL).strip().rstrip(";").strip()
     if not bare or ";" in bare:
         raise ValueError("one statement is wanted")
-    if bare.split(None, 1)[0].lower() not in MAY_BEGIN:
+    begins = bare.split(None, 1)[0].lower()
+    if begins not in MAY_BEGIN:
         raise ValueError("only statements that read are allowed")
-    if held := re.search(rf"\b({'|'.join(MAY_NOT_HOLD)})\b", bare, re.IGNORECASE):
+    words = " ".join(bare.lower().split())
+    if held := re.search(rf"\b({'|'.join(MAY_NOT_HOLD)})\b", words):
         raise ValueError(f"not allowed: {held[1]}")
+    if begins == "explain" and re.search(r"\banalyze\b", words):
+        raise ValueError("explain analyze runs its statement")
     return bare
 
 
