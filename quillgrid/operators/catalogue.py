@@ -65,6 +65,14 @@ def search(items: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return items.where(hit)
 
 
+def search_page(items: DataFrame, needle: str, columns: list[str], order: list[Column], offset: int = 0, limit: int = 50, release: str | None = None) -> DataFrame:
+    """One page of search() within a release (column release; None or blank for any), each row with total, how many there are in all."""
+    within = items.where(F.col("release") == release.strip()) if release and release.strip() else items
+    found = search(within, needle, columns)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return page(found, order, offset, limit).join(F.broadcast(total), how="cross")
+
+
 def release_rollup(releases: DataFrame, key: str, datasets: DataFrame, owner: str, count: str) -> DataFrame:
     """releases with n_tables and row_count over their datasets; those without a dataset are left out."""
     sums = datasets.groupBy(F.col(owner).alias("_release")).agg(F.count(F.lit(1)).alias("n_tables"), F.sum(count).alias("row_count"))

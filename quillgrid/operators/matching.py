@@ -106,6 +106,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_visible(queries: DataFrame, vectors: DataFrame, k: int, equal: dict[str, str | None], owner: str, own: str | None) -> DataFrame:
+    """nearest() among the vectors whose columns equal the given values (None for any) and that have no owner or the given one (None for any)."""
+    for column, value in equal.items():
+        if value is not None:
+            vectors = vectors.where(F.col(column) == value)
+    if own is not None:
+        vectors = vectors.where(F.col(owner).isNull() | (F.col(owner) == own))
+    return nearest(queries, vectors, k)
+
+
 def best_of_batches(ids: list, asked: list[list[float]], k: int):
     """A function over batches of vectors (vec_id, v) that gives the k nearest of each batch for each query."""
 
