@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as T
 from quillgrid.operators import catalogue, columns, grid, matching, publish
-from quillgrid.plans import block_queries, fact_queries, fold_queries, header_queries, inventory_queries, job_queries, label_queries, occupation_queries, repair_queries, search_queries
+from quillgrid.plans import block_queries, caption_queries, fact_queries, fold_queries, header_queries, inventory_queries, job_queries, label_queries, occupation_queries, repair_queries, search_queries
 from quillgrid.plans.catalogue_sql import SQL
 from quillgrid.session import table
 from quillgrid.sources import readers
@@ -397,7 +397,7 @@ QUERIES: dict[str, Query] = {name: found for name, found in list(globals().items
 
 
 #: Modules that hold further queries and their SQL, as QUERIES and SQL.
-MORE = (header_queries, occupation_queries, fold_queries, inventory_queries, search_queries, repair_queries, job_queries, block_queries, fact_queries)
+MORE = (header_queries, occupation_queries, fold_queries, inventory_queries, search_queries, repair_queries, job_queries, block_queries, fact_queries, caption_queries)
 
 
 def queries() -> dict[str, Query]:

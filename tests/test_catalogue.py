@@ -29,7 +29,12 @@ def plain(value):
     return "~" if value is None else f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue_queries.queries()))
+def test_queries_without_sql_are_known():
+    # Matching blocks and wraps of labels are beyond SQL; other tests hold these against all pairs and known grids.
+    assert set(catalogue_queries.queries()) - set(catalogue_queries.oracle_sql()) == {"occupation_match", "stacked_apart", "tables_built"}
+
+
+@pytest.mark.parametrize("name", sorted(catalogue_queries.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = catalogue_queries.queries()[name](spark, AT)
     got = df.collect()
