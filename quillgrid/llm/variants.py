@@ -153,7 +153,6 @@ def near_pairs(words: DataFrame, shortest: int = 6) -> DataFrame:
         for part in whole_blocks(batches):
             word, n, m, path = (part.column(c).to_numpy(zero_copy_only=False) for c in ("word", "n", "m", "path"))
             i, j = near_in(word, m, path, block_starts(part))
-            # A hash bucket's chance meeting of other blocks would fail here: pairs differ in the path or the length.
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word[i], word[j]]), pa.string()), pa.array(np.concatenate([word[j], word[i]]), pa.string()), pa.array(np.concatenate([n[j], n[i]]))], ["word", "near", "near_n"])
 
     entries = in_blocks(words, shortest)
