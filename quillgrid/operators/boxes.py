@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgrid.functions.stacks import let
 from quillgrid.operators.matching import components
 
 SIDES = ("x0", "y0", "x1", "y1")
@@ -93,10 +94,14 @@ def survivors(ordered: Column) -> Column:
         return ((wide >= had_wide + 3) & (cells > had)) | ((wide > had_wide) & (cells >= F.greatest(2 * had, had + 20))) | ((wide == had_wide) & (cells >= 2 * had + 10))
 
     def step(kept: Column, c: Column) -> Column:
-        rivals = F.filter(kept, lambda k: same(c, k))
-        best = F.array_max(F.transform(rivals, lambda k: k["score"]))
-        covered = c["loose"] & F.exists(rivals, lambda k: k["ruled"])
-        replaced = F.concat(F.filter(kept, lambda k: ~same(c, k)), F.array(c))
-        return F.when(F.size(rivals) == 0, F.concat(kept, F.array(c))).when(~covered & richer(c["score"], best), replaced).otherwise(kept)
+        def of(x: Column) -> Column:
+            rivals = F.filter(x["met"], lambda k: k["same"])
+            best = F.array_max(F.transform(rivals, lambda k: k["k"]["score"]))
+            covered = c["loose"] & F.exists(rivals, lambda k: k["k"]["ruled"])
+            rest = F.transform(F.filter(x["met"], lambda k: ~k["same"]), lambda k: k["k"])
+            takes = (F.size(rivals) == 0) | (~covered & richer(c["score"], best))
+            return F.when(takes, F.concat(rest, F.array(c))).otherwise(kept)
+
+        return let({"met": F.transform(kept, lambda k: F.named_struct(F.lit("k"), k, F.lit("same"), same(c, k)))}, of)
 
     return F.aggregate(ordered, F.slice(ordered, 1, 0), step)

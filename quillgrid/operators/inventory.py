@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.labels import printed_code
+from quillgrid.functions.stacks import let
 from quillgrid.functions.text import base_title, id_key, id_stem, inventory_code
 from quillgrid.operators.matching import components
 
@@ -35,30 +36,39 @@ def assigned(tables: Column, items: Column) -> Column:
     kind = "struct<used:array<bigint>,found:array<struct<ord:bigint,item:bigint,confidence:string>>>"
 
     def step(state: Column, t: Column) -> Column:
-        free = F.filter(items, lambda i: ~F.array_contains(state["used"], i["ord"]))
-
         def ords(by: str, among: Column) -> Column:
             return F.transform(F.filter(among, lambda i: i[by] == t[by]), lambda i: i["ord"])
 
-        exact = F.array_max(ords("whole", items))
-        exact = F.when(~F.array_contains(state["used"], exact), exact)
-        stems = ords("stem", free)
-        coded = F.filter(free, lambda i: i["code"] == t["code"])
-
-        def own_word(c: Column) -> Column:
-            others = F.flatten(F.transform(F.filter(coded, lambda o: o["told"] != c["told"]), lambda o: o["words"]))
-            return F.get(F.filter(F.array_except(c["words"], others), lambda w: F.length(w) > 3), F.lit(0))
-
-        told = F.filter(coded, lambda c: F.coalesce(F.contains(t["said"], own_word(c)), F.lit(False)))
-        only = F.when(F.size(coded) == 1, F.get(coded, F.lit(0))["ord"]).when(F.size(told) == 1, F.get(told, F.lit(0))["ord"])
-        by_stem = F.when(F.size(stems) == 1, F.get(stems, F.lit(0)))
-        item = F.coalesce(exact, by_stem, only)
-        confidence = (
-            F.when(exact.isNotNull(), "exact").when(by_stem.isNotNull(), "stem").when(F.size(coded) == 1, "code")
-            .when(F.size(told) == 1, "code+keyword").when(F.size(coded) > 1, "ambiguous").otherwise("none")
-        )
-        used = F.when(item.isNotNull(), F.concat(state["used"], F.array(item))).otherwise(state["used"])
-        return F.named_struct(F.lit("used"), used, F.lit("found"), F.concat(state["found"], F.array(F.named_struct(F.lit("ord"), t["ord"], F.lit("item"), item, F.lit("confidence"), confidence)))).cast(kind)
+        def told_by(coded: Column) -> Column:
+            def own_word(c: Column) -> Column:
+                others = F.flatten(F.transform(F.filter(coded, lambda o: o["told"] != c["told"]), lambda o: o["words"]))
+                return F.get(F.filter(F.array_except(c["words"], others), lambda w: F.length(w) > 3), F.lit(0))
+
+            return F.filter(coded, lambda c: F.coalesce(F.contains(t["said"], own_word(c)), F.lit(False)))
+
+        def settled(x: Column) -> Column:
+            coded, told = x["coded"], x["told"]
+            by_stem = F.when(F.size(x["stems"]) == 1, F.get(x["stems"], F.lit(0)))
+            only = F.when(F.size(coded) == 1, F.get(coded, F.lit(0))["ord"]).when(F.size(told) == 1, F.get(told, F.lit(0))["ord"])
+            confidence = (
+                F.when(x["exact"].isNotNull(), "exact").when(by_stem.isNotNull(), "stem").when(F.size(coded) == 1, "code")
+                .when(F.size(told) == 1, "code+keyword").when(F.size(coded) > 1, "ambiguous").otherwise("none")
+            )
+            return let({"item": F.coalesce(x["exact"], by_stem, only), "confidence": confidence}, kept)
+
+        def kept(x: Column) -> Column:
+            used = F.when(x["item"].isNotNull(), F.concat(state["used"], F.array(x["item"]))).otherwise(state["used"])
+            found = F.named_struct(F.lit("ord"), t["ord"], F.lit("item"), x["item"], F.lit("confidence"), x["confidence"])
+            return F.named_struct(F.lit("used"), used, F.lit("found"), F.concat(state["found"], F.array(found))).cast(kind)
+
+        def by_keys(x: Column) -> Column:
+            exact = F.when(~F.array_contains(state["used"], x["exact"]), x["exact"])
+            return let({"exact": exact, "stems": ords("stem", x["free"]), "coded": x["coded"], "told": told_by(x["coded"])}, settled)
+
+        def alike(x: Column) -> Column:
+            return let({"exact": F.array_max(ords("whole", items)), "free": x["free"], "coded": F.filter(x["free"], lambda i: i["code"] == t["code"])}, by_keys)
+
+        return let({"free": F.filter(items, lambda i: ~F.array_contains(state["used"], i["ord"]))}, alike)
 
     begin = F.named_struct(F.lit("used"), F.array(), F.lit("found"), F.array()).cast(kind)
     return F.aggregate(tables, begin, step, lambda s: s["found"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.functions.stacks import let
 from quillgrid.functions.text import base_title, title_tokens
 from quillgrid.operators.matching import components
 
@@ -20,8 +21,10 @@ def agree(a: Column, b: Column) -> Column:
 
 def all_agree(titles: Column) -> Column:
     """Whether two titles or more of an array of tokens are all in agreement with each other."""
-    pairs = F.flatten(F.transform(titles, lambda a, i: F.transform(F.slice(titles, i + 2, F.size(titles)), lambda b: agree(a, b))))
-    return (F.size(titles) >= 2) & F.forall(pairs, lambda ok: ok)
+    def of(x: Column) -> Column:
+        return (F.size(x["t"]) >= 2) & F.forall(F.transform(x["t"], lambda a, i: F.forall(F.slice(x["t"], i + 2, F.size(x["t"])), lambda b: agree(a, b))), lambda ok: ok)
+
+    return let({"t": titles}, of)
 
 
 def taken(proposals: Column) -> Column:
@@ -29,12 +32,14 @@ def taken(proposals: Column) -> Column:
     kind = "struct<used:array<string>,found:array<struct<ord:bigint,ids:array<string>>>>"
 
     def step(state: Column, p: Column) -> Column:
-        free = F.filter(p["members"], lambda m: ~F.array_contains(state["used"], m["id"]))
-        ids = F.transform(free, lambda m: m["id"])
-        told = F.transform(F.filter(free, lambda m: ~m["blank"]), lambda m: m["tokens"])
-        good = (F.size(free) >= 2) & all_agree(told)
-        more = F.named_struct(F.lit("used"), F.concat(state["used"], ids), F.lit("found"), F.concat(state["found"], F.array(F.named_struct(F.lit("ord"), p["ord"], F.lit("ids"), ids)))).cast(kind)
-        return F.when(good, more).otherwise(state)
+        def of(x: Column) -> Column:
+            free = x["free"]
+            ids = F.transform(free, lambda m: m["id"])
+            good = (F.size(free) >= 2) & all_agree(F.transform(F.filter(free, lambda m: ~m["blank"]), lambda m: m["tokens"]))
+            more = F.named_struct(F.lit("used"), F.concat(state["used"], ids), F.lit("found"), F.concat(state["found"], F.array(F.named_struct(F.lit("ord"), p["ord"], F.lit("ids"), ids)))).cast(kind)
+            return F.when(good, more).otherwise(state)
+
+        return let({"free": F.filter(p["members"], lambda m: ~F.array_contains(state["used"], m["id"]))}, of)
 
     return F.aggregate(proposals, F.named_struct(F.lit("used"), F.array(), F.lit("found"), F.array()).cast(kind), step, lambda s: s["found"])
 
