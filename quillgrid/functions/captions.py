@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillgrid.functions.stacks import let, steps
+
 # Fixed patterns: the word for table before its number, serial headers, and characters that fonts or encodings have broken.
 TABLE_WORD, SERIAL_WORD = r"(?i)\bTABLE[\s:\-]", r"(?i)\bSL\.?\s*NO\.?\b"
 BROKEN = "[\ue000-\uf8ff\ufffd]|[\u00c0-\u00ff][\u0080-\u00bf]"
@@ -26,24 +28,40 @@ def undoubled(text: Column) -> Column:
 
     Doubled is a text of six letters or more of which four fifths stand in pairs of equal letters, without regard to case.
     """
-    letters = F.lower(F.regexp_replace(text, r"[^\p{L}]", ""))
-    runs = F.regexp_extract_all(letters, F.lit(r"(\p{L})\1*"), 0)
-    paired = F.aggregate(runs, F.lit(0), lambda n, r: n + F.length(r) - F.length(r) % 2)
-    return F.when((F.length(letters) >= 6) & (paired >= 0.8 * F.length(letters)), F.regexp_replace(text, r"(?iu)(\p{L})\1", "$1")).otherwise(text)
+
+    def of(x: Column) -> Column:
+        letters = x["letters"]
+        paired = F.aggregate(F.regexp_extract_all(letters, F.lit(r"(\p{L})\1*"), 0), F.lit(0), lambda n, r: n + F.length(r) - F.length(r) % 2)
+        return F.when((F.length(letters) >= 6) & (paired >= 0.8 * F.length(letters)), F.regexp_replace(x["text"], r"(?iu)(\p{L})\1", "$1")).otherwise(x["text"])
+
+    return steps({"text": text}, lambda x: {"text": x["text"], "letters": F.lower(F.regexp_replace(x["text"], r"[^\p{L}]", ""))}, body=of)
 
 
 def is_column_list(text: Column) -> Column:
     """Whether a text lists columns: two parts or more, all but one short, in 160 characters."""
-    said = one_blank(text)
-    parts = F.filter(F.transform(F.split(said, "[,;/|]"), lambda p: F.trim(p)), lambda p: p != "")
-    short = F.size(F.filter(parts, lambda p: (F.length(p) <= 40) & (F.size(F.split(p, " ")) <= 5)))
-    return (F.size(parts) >= 2) & (short >= F.greatest(F.lit(2), F.size(parts) - 1)) & (F.length(said) <= 160)
+
+    def of(x: Column) -> Column:
+        short = F.size(F.filter(x["parts"], lambda p: (F.length(p) <= 40) & (F.size(F.split(p, " ")) <= 5)))
+        return (F.length(x["said"]) <= 160) & (F.size(x["parts"]) >= 2) & (short >= F.greatest(F.lit(2), F.size(x["parts"]) - 1))
+
+    def parts(said: Column) -> Column:
+        return F.filter(F.transform(F.split(said, "[,;/|]"), lambda p: F.trim(p)), lambda p: p != "")
+
+    return steps({"said": one_blank(text)}, lambda x: {"said": x["said"], "parts": parts(x["said"])}, body=of)
+
+
+def told_names(columns: Column) -> Column:
+    """The names of columns in capitals, without those of fewer than three characters."""
+    return F.filter(F.transform(F.coalesce(columns, F.array().cast("array<string>")), lambda c: F.upper(F.trim(c))), lambda c: F.length(c) >= 3)
 
 
 def reads_as_headers(title: Column, columns: Column) -> Column:
     """Whether a title is really a table's number, a serial header, or names of half its first columns."""
-    said = F.upper(one_blank(title))
-    names = F.filter(F.transform(F.coalesce(columns, F.array().cast("array<string>")), lambda c: F.upper(F.trim(c))), lambda c: F.length(c) >= 3)
+    return let({"said": F.upper(one_blank(title)), "names": told_names(columns)}, lambda x: names_headers(x["said"], x["names"]))
+
+
+def names_headers(said: Column, names: Column) -> Column:
+    """reads_as_headers() for a title and names in capitals."""
     first = F.slice(names, 1, 6)
     hits = F.size(F.filter(first, lambda c: F.contains(said, c)))
     listed = (F.size(names) >= 2) & (hits >= F.greatest(F.lit(2), F.floor(0.5 * F.least(F.lit(4), F.size(first)))))
@@ -53,24 +71,39 @@ def reads_as_headers(title: Column, columns: Column) -> Column:
 def normal_title(title: Column, columns: Column) -> Column:
     """A title with single blanks and letters, without a list of columns behind a dash; empty where it is nothing but that.
 
-    Beyond 220 characters a title ends at a dash after twelve or more, else at a word.
+    Beyond 220 characters a title ends at a dash after twelve or more, else at a word. Each step is computed once, however
+    often the next one reads it.
     """
-    said = undoubled(one_blank(title))
-    dash = F.lit(None).cast("string")
-    for mark in reversed(DASHES):
-        dash = F.when(F.contains(said, F.lit(mark)), mark).otherwise(dash)
-    at = F.instr(said, dash)
-    left, right = F.trim(F.substring(said, F.lit(1), at - 1)), F.trim(F.substring(said, at + F.length(dash), F.length(said)))
-    drop = (left != "") & (reads_as_headers(right, columns) | is_column_list(right) | ((F.length(said) > LONGEST) & (F.length(left) >= 12)))
-    kept = F.when(F.coalesce(drop, F.lit(False)), left).otherwise(said)
-
-    def ended(t: Column) -> Column:
-        cut = F.left(t, F.lit(LONGEST))
-        whole = F.when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, r"\s\S*$", "")).otherwise(cut)
-        short = F.when(F.length(whole) >= 20, F.regexp_replace(whole, r"[ ,;:—–-]+$", "")).otherwise(F.rtrim(cut))
-        return F.when(reads_as_headers(t, columns) | is_column_list(t), "").when(F.length(t) > LONGEST, short).otherwise(t)
-
-    return F.get(F.transform(F.array(kept), ended), F.lit(0))
+
+    def dashed(x: Column) -> dict[str, Column]:
+        dash = F.lit(None).cast("string")
+        for mark in reversed(DASHES):
+            dash = F.when(F.contains(x["said"], F.lit(mark)), mark).otherwise(dash)
+        return {"said": x["said"], "names": x["names"], "dash": dash}
+
+    def halved(x: Column) -> dict[str, Column]:
+        at = F.instr(x["said"], x["dash"])
+        left, right = F.trim(F.substring(x["said"], F.lit(1), at - 1)), F.trim(F.substring(x["said"], at + F.length(x["dash"]), F.length(x["said"])))
+        return {"said": x["said"], "names": x["names"], "left": left, "right": right}
+
+    def shortened(x: Column) -> dict[str, Column]:
+        long = (F.length(x["said"]) > LONGEST) & (F.length(x["left"]) >= 12)
+        drop = (x["left"] != "") & (long | headed(x["right"], x["names"]) | is_column_list(x["right"]))
+        return {"kept": F.when(F.coalesce(drop, F.lit(False)), x["left"]).otherwise(x["said"]), "names": x["names"]}
+
+    def headed(t: Column, names: Column) -> Column:
+        return let({"said": F.upper(one_blank(t))}, lambda x: names_headers(x["said"], names))
+
+    def at_a_word(x: Column) -> dict[str, Column]:
+        cut = F.left(x["kept"], F.lit(LONGEST))
+        return {"kept": x["kept"], "cut": cut, "word": F.regexp_replace(cut, r"\s\S*$", ""), "none": headed(x["kept"], x["names"]) | is_column_list(x["kept"])}
+
+    def ended(x: Column) -> Column:
+        whole = F.when(F.contains(x["cut"], F.lit(" ")), x["word"]).otherwise(x["cut"])
+        short = F.when(F.length(whole) >= 20, F.regexp_replace(whole, r"[ ,;:—–-]+$", "")).otherwise(F.rtrim(x["cut"]))
+        return F.when(x["none"], "").when(F.length(x["kept"]) > LONGEST, short).otherwise(x["kept"])
+
+    return steps({"said": undoubled(one_blank(title)), "names": told_names(columns)}, dashed, halved, shortened, at_a_word, body=ended)
 
 
 def id_title_issues(table_id: Column, title: Column) -> Column:

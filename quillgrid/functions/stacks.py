@@ -21,6 +21,22 @@ def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), F.lit(0))
 
 
+def steps(values: dict[str, Column], *more: Callable[[Column], dict[str, Column]], body: Callable[[Column], Column]) -> Column:
+    """body of the last of some structs, each made of the one before and computed once.
+
+    The steps stand one after another, not one within another as nested let() would: Spark asks for the types of nested
+    functions again at each level, which takes time that doubles and more with every level.
+    """
+    at = F.array(F.struct(*(v.alias(k) for k, v in values.items())))
+    for step in more:
+        at = F.transform(at, made_of(step))
+    return F.get(F.transform(at, body), F.lit(0))
+
+
+def made_of(step: Callable[[Column], dict[str, Column]]) -> Callable[[Column], Column]:
+    return lambda x: F.struct(*(v.alias(k) for k, v in step(x).items()))
+
+
 def none() -> Column:
     return F.array().cast(NOTHING)
 
@@ -58,17 +74,13 @@ def measures(cell: Column) -> Column:
 
 def sex_of(text: Column) -> Column:
     """M or F for a line that says so, alone or glued to a figure or letter; else null."""
-    bare = F.trim(text)
-    letter = F.upper(F.regexp_extract(bare, "([MFmf])", 1))
-    glued = (F.length(bare) <= 4) & bare.rlike(r"^[0-9.]*[a-z]?[MFmf][0-9.]*$") & (F.length(F.regexp_replace(bare, "[^MFmf]", "")) == 1)
-    return F.when(bare.rlike("^[MFmf]$") | glued, letter)
+    return F.upper(F.get(F.regexp_extract_all(F.trim(text), F.lit(r"^(?=.{1,4}$)[0-9.]*[a-eg-ln-z]?([MFmf])[0-9.]*$"), 1), F.lit(0)))
 
 
 def sexes(cell: Column) -> Column:
     """The sexes stacked or strung together in a cell; none unless there are two or more and nothing else."""
     def all_of(parts: Column) -> Column:
-        told = F.transform(parts, sex_of)
-        return F.when((F.size(parts) >= 2) & F.forall(told, lambda x: x.isNotNull()), told)
+        return let({"told": F.transform(parts, sex_of)}, lambda x: F.when((F.size(x["told"]) >= 2) & F.forall(x["told"], lambda s: s.isNotNull()), x["told"]))
 
     return F.coalesce(all_of(lines(cell)), all_of(F.filter(F.split(C.canonical(cell), " "), lambda x: x != "")), none())
 

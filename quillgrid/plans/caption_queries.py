@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import captions
-from quillgrid.session import table
+from quillgrid.session import dealt, table
 
 #: Titles that both engines read; wide ones take their text from the part's name over and over.
 TITLES = """SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN concat(p_name, ' — ', p_type, ', ', p_brand, ', year') WHEN 1 THEN concat('  ', p_name, '   by ', p_type, ' – Sl. No.') WHEN 2 THEN concat(p_name, ', ', p_type, ' / ', p_brand)
@@ -19,7 +19,7 @@ TITLES = """SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN concat(p_name,
 
 def titled(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "part").createOrReplaceTempView("quillgrid_part")
-    return spark.sql(TITLES.format("$1").replace("FROM part", "FROM quillgrid_part"))
+    return dealt(spark.sql(TITLES.format("$1").replace("FROM part", "FROM quillgrid_part")), "k")
 
 
 def titles_normal(spark: SparkSession, sf: str) -> DataFrame:
