@@ -5,34 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How a reader writes a missing cell.
-MISSING = ("nan", "none", "<na>")
+# Fixed pattern: how a reader writes a missing cell.
+MISSING = r"(?i)^(?:nan|none|<na>)\z"
 # The longest code under a spanning header, the least count that can't be a code, and the years that are codes.
 CODE_LENGTH, COUNT_FROM, YEARS = 24, 100, (1800, 2100)
 # Fixed patterns: what a table's own number looks like as a banner, and open codes as >8 or 5+.
 TABLE_NUMBER = r"(?i)^(?:table\s*[:.\-–—]?\s*[a-z0-9][\w\s.\-–—/]*|statement\s*[:.\-–—]?\s*[0-9]+|annex(?:ure)?\s*[:.\-–—]?\s*[a-z0-9]+)$"
 OPEN_CODE = r"^[<>]=?[0-9]+\+?$|^[0-9]+\+$"
 #: A number in plain or exponent notation.
-NUMBER = r"^[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+NUMBER = r"^([-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)\z"
 
 
 def canonical(cell: Column) -> Column:
     """A cell's text with single blanks; empty for null and for the ways a missing cell is written."""
     text = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
-    return F.when(F.lower(text).isin(*MISSING), "").otherwise(text)
+    return F.regexp_replace(text, MISSING, "")
 
 
 def bare_number(text: Column) -> Column:
     """A canonical text without thousands marks, percent signs, stars and one pair of brackets around it."""
-    plain = F.trim(F.regexp_replace(text, "[,%*]", ""))
-    inner = F.trim(F.regexp_extract(plain, r"^\((.+)\)$", 1))
-    return F.when(plain.rlike(r"^\(.+\)$"), inner).otherwise(plain)
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, "[,%*]", "")), r"^\((.+)\)$\R?", "$1"))
 
 
 def size_of(text: Column) -> Column:
     """The absolute value of a canonical text that is a number; null for any other."""
-    bare = bare_number(text)
-    return F.when(bare.rlike(NUMBER), F.abs(bare.try_cast("double")))
+    return F.abs(F.regexp_extract(bare_number(text), NUMBER, 1).try_cast("double"))
 
 
 def is_year(text: Column) -> Column:

@@ -60,16 +60,18 @@ def is_share(text: Column) -> Column:
 
 def measures(cell: Column) -> Column:
     """The lines of a cell, a share in brackets together with the figure right above it."""
-    def of(x: Column) -> Column:
-        share = F.transform(x["parts"], is_share)
-        plain = F.transform(x["parts"], lambda p: is_number(p) & ~is_share(p))
-        return let({"parts": x["parts"], "joins": F.zip_with(share, F.concat(F.array(F.lit(False)), plain), lambda s, b: F.coalesce(s & b, F.lit(False)))}, joined)
+    def told(x: Column) -> dict[str, Column]:
+        return {"parts": x["parts"], "share": F.transform(x["parts"], is_share), "number": F.transform(x["parts"], is_number)}
+
+    def joining(x: Column) -> dict[str, Column]:
+        plain = F.concat(F.array(F.lit(False)), F.zip_with(x["number"], x["share"], lambda n, s: n & ~s))
+        return {"parts": x["parts"], "joins": F.zip_with(x["share"], plain, lambda s, b: F.coalesce(s & b, F.lit(False)))}
 
     def joined(x: Column) -> Column:
         held = F.transform(x["parts"], lambda p, i: F.when(~F.get(x["joins"], i), F.when(F.coalesce(F.get(x["joins"], i + 1), F.lit(False)) & (i + 1 < F.size(x["parts"])), F.concat(p, F.lit("\n"), F.get(x["parts"], i + 1))).otherwise(p)))
         return F.filter(held, lambda p: p.isNotNull())
 
-    return let({"parts": lines(cell)}, of)
+    return steps({"parts": lines(cell)}, told, joining, body=joined)
 
 
 def sex_of(text: Column) -> Column:
@@ -91,20 +93,24 @@ def has_code(text: Column) -> Column:
 
 def continues(line: Column, before: Column) -> Column:
     """Whether a line of a label goes on with the text before it, rather than beginning a label of its own."""
-    return let({"s": C.canonical(line), "p": C.canonical(before)}, lambda x: goes_on(x["s"], x["p"]))
+    def taken_apart(x: Column) -> dict[str, Column]:
+        s, p = x["s"], x["p"]
+        clause = F.regexp_replace(F.regexp_extract(p, r"(?i)\bsuch as\b(.*)$", 1), r"^[\s,;/]+|[\s,;/]+$", "")
+        a, b = (F.regexp_replace(F.lower(F.substring_index(t, " ", 1)), "^[,;]+|[,;]+$", "") for t in (p, s))
+        return {"s": s, "p": p, "tail": s.rlike(r"^[A-Z]?[0-9][0-9A-Za-z,\-\s&/)]*$"), "clause": clause, "a": a, "b": b}
+
+    return steps({"s": C.canonical(line), "p": C.canonical(before)}, taken_apart, body=goes_on)
 
 
-def goes_on(s: Column, p: Column) -> Column:
-    tail = s.rlike(r"^[A-Z]?[0-9][0-9A-Za-z,\-\s&/)]*$")
+def goes_on(x: Column) -> Column:
+    s, p, tail, clause = x["s"], x["p"], x["tail"], x["clause"]
     code = (s.rlike(r"^[0-9A-Za-z,\-\s&/()]+$") & ~s.rlike("[A-Za-z]{5,}")) | (tail & s.rlike(r"[-&]|\)$"))
     closed = F.length(F.regexp_replace(p, r"[^(]", "")) <= F.length(F.regexp_replace(p, r"[^)]", ""))
     title = s.rlike(r"^\p{Lu}") & (n_words(s) >= 3) & (has_code(s) | s.rlike(TITLE_STARTS))
     listed = p.rlike(r"[,\-&/]$") & (tail | (n_words(s) <= 6))
     hanging = p.rlike(HANGING) & (tail | (F.length(s) < 45))
-    clause = F.regexp_replace(F.regexp_extract(p, r"(?i)\bsuch as\b(.*)$", 1), r"^[\s,;/]+|[\s,;/]+$", "")
-    such = let({"c": clause}, lambda x: (x["c"] != "") & ~x["c"].rlike(r"[.)]$") & (n_words(x["c"]) <= 6))
-    lead = [F.regexp_replace(F.lower(F.substring_index(x, " ", 1)), "^[,;]+|[,;]+$", "") for x in (p, s)]
-    same = let({"a": lead[0], "b": lead[1]}, lambda x: (F.length(x["a"]) >= 5) & (x["a"] == x["b"])) & has_code(s) & ~has_code(p)
+    such = (clause != "") & ~clause.rlike(r"[.)]$") & (n_words(clause) <= 6)
+    same = (F.length(x["a"]) >= 5) & (x["a"] == x["b"]) & has_code(s) & ~has_code(p)
     by_text = (p != "") & closed & (listed | same | ((hanging | such) & ~title))
     return (s == "") | (~s.rlike("^[0-9]{1,4}$") & (s.rlike(r"^[(&,]|^\p{Ll}") | code | by_text))
 
@@ -119,7 +125,7 @@ def merge_score(group: Column, line: Column, last: Column) -> Column:
         score += F.when((n_words(s) <= 2) & capital, -20).otherwise(0)
         return score + F.when((n_words(x["l"]) >= 2) & (n_words(s) >= 2) & capital & ~x["on"], 35).otherwise(0)
 
-    return let({"g": group, "s": line, "l": last}, lambda x: let({"g": x["g"], "s": x["s"], "l": x["l"], "on": continues(x["s"], x["g"])}, of))
+    return steps({"g": group, "s": line, "l": last}, lambda x: {"g": x["g"], "s": x["s"], "l": x["l"], "on": continues(x["s"], x["g"])}, body=of)
 
 
 def padded(values: Column, n: Column) -> Column:
@@ -154,15 +160,16 @@ def labels_on_rows(parts: Column, n: Column) -> Column:
 
         return let({"scores": scores}, of)
 
-    def fitted(x: Column) -> Column:
+    def fitted(x: Column) -> dict[str, Column]:
         over = F.size(x["groups"]) - n
         less = F.aggregate(F.when(over > 0, F.sequence(F.lit(1), over)).otherwise(F.array().cast("array<int>")), x["groups"], join_best)
-        return padded(F.transform(less, lambda g: g["text"]), n)
+        return {"parts": x["parts"], "texts": F.transform(less, lambda g: g["text"])}
 
-    def of(x: Column) -> Column:
-        return F.when(F.size(x["parts"]) <= n, padded(x["parts"], n)).otherwise(let({"groups": F.aggregate(x["parts"], F.array().cast(group), gather)}, fitted))
+    def gathered(x: Column) -> dict[str, Column]:
+        # Lines that fit need no groups.
+        return {"parts": x["parts"], "groups": F.aggregate(F.when(F.size(x["parts"]) > n, x["parts"]).otherwise(none()), F.array().cast(group), gather)}
 
-    return let({"parts": parts}, of)
+    return steps({"parts": parts}, gathered, fitted, body=lambda x: padded(F.when(F.size(x["parts"]) <= n, x["parts"]).otherwise(x["texts"]), n))
 
 
 def labels_on_pairs(parts: Column, pairs: Column) -> Column:

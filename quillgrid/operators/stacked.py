@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import cells as C
 from quillgrid.functions import stacks as S
+from quillgrid.session import dealt
 
 
-def sex_column(rows: DataFrame, unit: str) -> DataFrame:
-    """unit and sex_col: the first column headed sex or gender in the first six rows, else the one with most stacked sexes."""
-    each = rows.select(unit, "row", F.posexplode("cells").alias("col", "text"))
-    named = (F.col("row") < 6) & F.lower(C.canonical(F.col("text"))).isin("sex", "gender")
-    n = F.size(S.sexes(F.col("text")))
-    found = each.groupBy(unit).agg(F.min(F.when(named, F.struct("row", "col"))).alias("head"), F.min(F.when(n >= 2, F.struct((-n).alias("n"), "row", "col"))).alias("most"))
-    return found.select(unit, F.coalesce("head.col", "most.col").alias("sex_col"))
+def with_sex_column(rows: DataFrame, unit: str) -> DataFrame:
+    """rows with sex_col: the first column headed sex or gender in their unit's first six rows, else the one with most stacked sexes."""
+    along = W.partitionBy(unit)
+
+    def stacked(c: Column, i: Column) -> Column:
+        return S.let({"n": F.size(S.sexes(c))}, lambda x: F.when(x["n"] >= 2, F.struct((-x["n"]).alias("n"), F.col("row"), i.alias("col"))))
+
+    named = F.transform("cells", lambda c, i: F.when((F.col("row") < 6) & F.lower(C.canonical(c)).isin("sex", "gender"), F.struct(F.col("row"), i.alias("col"))))
+    told = rows.withColumns({"_head": F.array_min(named), "_most": F.array_min(F.transform("cells", stacked))})
+    return told.withColumn("sex_col", F.coalesce(F.min("_head").over(along)["col"], F.min("_most").over(along)["col"])).drop("_head", "_most")
 
 
 def most_lines(cells: Column, after: Column) -> Column:
@@ -103,10 +107,10 @@ def expanded(rows: DataFrame, unit: str) -> DataFrame:
 
     Units of fewer than three columns stay as they are, and so do rows that hold one row only. Null arrays are blank rows.
     """
-    held = F.coalesce(F.col("cells"), S.none())
-    width = rows.groupBy(unit).agg(F.max(F.size(held)).alias("w"))
-    whole = rows.select(unit, "row", held.alias("cells")).join(width, unit).withColumn("cells", S.padded(F.col("cells"), F.col("w")))
-    whole = whole.join(sex_column(whole, unit), unit, "left").withColumn("sex_col", F.when(F.col("w") >= 3, F.col("sex_col"))).drop("w")
+    # One dealing by unit serves all windows below; a null unit is none.
+    held = dealt(rows.where(F.col(unit).isNotNull()).select(unit, "row", F.coalesce(F.col("cells"), S.none()).alias("cells")), unit)
+    whole = held.withColumn("w", F.max(F.size("cells")).over(W.partitionBy(unit))).withColumn("cells", S.padded(F.col("cells"), F.col("w")))
+    whole = with_sex_column(whole, unit).withColumn("sex_col", F.when(F.col("w") >= 3, F.col("sex_col"))).drop("w")
     merged = with_continuations(whole, unit)
     n = F.when(F.size("cells") >= 3, rows_held(F.col("cells"), F.col("sex_col"))).otherwise(1)
     counted = merged.withColumn("n", n.cast("int")).withColumn("told", F.when(F.col("n") > 1, F.when(F.col("sex_col").isNotNull(), S.sexes_on_rows(F.get("cells", F.col("sex_col")), F.col("n"))).otherwise(S.padded(S.none(), F.col("n")))))
@@ -118,10 +122,11 @@ def expanded(rows: DataFrame, unit: str) -> DataFrame:
         .when(sex.isNull() & is_label_stack(c, rows_n), S.labels_on_rows(S.lines(c), rows_n))
         .otherwise(S.figures_on_rows(c, rows_n)),
     )
-    many = counted.where("n > 1").select(unit, "row", sex, rows_n, columns.alias("columns"))
-    many = many.select(unit, "row", "sex_col", "columns", F.explode(F.sequence(F.lit(0), rows_n - 1)).alias("part")).select(unit, "row", "part", "sex_col", F.transform("columns", lambda c: F.get(c, F.col("part"))).alias("cells"))
-    one = counted.where("n <= 1").select(unit, "row", F.lit(0).alias("part"), "sex_col", "cells")
-    numbered = many.unionByName(one).withColumn("row", F.row_number().over(W.partitionBy(unit).orderBy("row", "part")) - 1)
+    # Rows that hold one row only take the same way, so that what comes before is computed once.
+    each = F.when(rows_n > 1, columns).otherwise(F.transform("cells", lambda c: F.array(c)))
+    spread = counted.select(unit, "row", "sex_col", rows_n, each.alias("columns")).select(unit, "row", "sex_col", "columns", F.explode(F.sequence(F.lit(0), F.greatest(rows_n, F.lit(1)) - 1)).alias("part"))
+    spread = spread.select(unit, "row", "part", "sex_col", F.transform("columns", lambda c: F.get(c, F.col("part"))).alias("cells"))
+    numbered = spread.withColumn("row", F.row_number().over(W.partitionBy(unit).orderBy("row", "part")) - 1)
     return labels_set_back(numbered, unit).select(unit, "row", "cells")
 
 

@@ -14,3 +14,11 @@ def plan_size(spark, name: str) -> int:
 
 def test_titles_normal_writes_each_step_once(spark):
     assert plan_size(spark, "titles_normal") < 20_000
+
+
+def test_stacked_apart_computes_what_comes_before_once(spark):
+    assert plan_size(spark, "stacked_apart") < 90_000
+
+
+def test_glued_spread_writes_each_step_once(spark):
+    assert plan_size(spark, "glued_spread") < 10_000
