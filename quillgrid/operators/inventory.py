@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.labels import printed_code
-from quillgrid.functions.stacks import let
 from quillgrid.functions.text import base_title, id_key, id_stem, inventory_code
-from quillgrid.operators.matching import components
+from quillgrid.operators.matching import checkpointed, components
+from quillgrid.session import dealt
 
 
 def words_of(text: Column) -> Column:
@@ -27,51 +30,104 @@ def keyed(tables: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame
     return left, right
 
 
-def assigned(tables: Column, items: Column) -> Column:
-    """What each of an ordered array of tables gets: ord, item (null without one) and confidence.
-
-    The row with the table's whole id, the last of equal ones; else the only free one of its stem; else the only free one
-    of its code; else, of several, the only one with a word of its own that the table's texts say.
+class Free:
+    """The free items of one part: by whole id, stem and code, and under a code by what they tell."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, int] = {}
+        self.used: set[int] = set()
+        self.by_stem: dict[str, set[int]] = {}
+        self.by_code: dict[str, set[int]] = {}
+        self.keys: dict[int, tuple] = {}
+        self.told: dict[str, dict[str, tuple[list[str], set[int]]]] = {}
+        self.tellers: dict[str, dict[str, set[str]]] = {}
+
+    def add(self, ord_: int, whole: str | None, stem: str | None, code: str | None, told: str, words: list[str]) -> None:
+        if whole is not None:
+            self.last[whole] = max(ord_, self.last.get(whole, ord_))
+        self.keys[ord_] = (stem, code, told)
+        if stem is not None:
+            self.by_stem.setdefault(stem, set()).add(ord_)
+        if code is not None:
+            self.by_code.setdefault(code, set()).add(ord_)
+            texts = self.told.setdefault(code, {})
+            if told not in texts:
+                texts[told] = (words, set())
+                for w in words:
+                    self.tellers.setdefault(code, {}).setdefault(w, set()).add(told)
+            texts[told][1].add(ord_)
+
+    def take(self, ord_: int) -> None:
+        self.used.add(ord_)
+        stem, code, told = self.keys.pop(ord_)
+        if stem is not None:
+            self.by_stem[stem].discard(ord_)
+        if code is not None:
+            self.by_code[code].discard(ord_)
+            words, those = self.told[code][told]
+            those.discard(ord_)
+            if not those:
+                del self.told[code][told]
+                for w in words:
+                    self.tellers[code][w].discard(told)
+
+    def told_by(self, code: str, said: str) -> set[int]:
+        """The free items of a code whose first long word that no other text has stands in said; two of them at most are looked for."""
+        found: set[int] = set()
+        tellers = self.tellers[code]
+        # A word of its own has one teller, and only words that stand in said count: whichever are fewer are gone through.
+        parts = len(said) * (len(said) - 3) // 2
+        near = {said[i:j] for i in range(len(said)) for j in range(i + 4, len(said) + 1)} & tellers.keys() if parts < len(tellers) else [w for w in tellers if w in said]
+        for w in near:
+            if len(w) > 3 and len(tellers[w]) == 1:
+                (told,) = tellers[w]
+                words, those = self.told[code][told]
+                if w == next(x for x in words if len(x) > 3 and len(tellers[x]) == 1):
+                    found |= those
+                    if len(found) > 1:
+                        break
+        return found
+
+    def settle(self, whole: str | None, stem: str | None, code: str | None, said: str) -> tuple[int | None, str]:
+        """What a table gets, by the first way that finds it, and how."""
+        exact = self.last.get(whole) if whole is not None else None
+        if exact is not None and exact not in self.used:
+            return exact, "exact"
+        stems, coded = self.by_stem.get(stem, ()), self.by_code.get(code, ())
+        if len(stems) == 1:
+            return next(iter(stems)), "stem"
+        if len(coded) == 1:
+            return next(iter(coded)), "code"
+        if len(coded) > 1:
+            told = self.told_by(code, said)
+            return (next(iter(told)), "code+keyword") if len(told) == 1 else (None, "ambiguous")
+        return None, "none"
+
+
+def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each table gets: scope, ord, item (null without one) and confidence.
+
+    The rows come part by part, its items first, then its tables in order. A table gets the row with its whole id, the last of
+    equal ones; else the only free one of its stem; else the only free one of its code; else, of several, the only one with a
+    word of its own that the table's texts say. Only the items of one part are held at a time.
     """
-    kind = "struct<used:array<bigint>,found:array<struct<ord:bigint,item:bigint,confidence:string>>>"
-
-    def step(state: Column, t: Column) -> Column:
-        def ords(by: str, among: Column) -> Column:
-            return F.transform(F.filter(among, lambda i: i[by] == t[by]), lambda i: i["ord"])
-
-        def told_by(coded: Column) -> Column:
-            def own_word(c: Column) -> Column:
-                others = F.flatten(F.transform(F.filter(coded, lambda o: o["told"] != c["told"]), lambda o: o["words"]))
-                return F.get(F.filter(F.array_except(c["words"], others), lambda w: F.length(w) > 3), F.lit(0))
-
-            return F.filter(coded, lambda c: F.coalesce(F.contains(t["said"], own_word(c)), F.lit(False)))
-
-        def settled(x: Column) -> Column:
-            coded, told = x["coded"], x["told"]
-            by_stem = F.when(F.size(x["stems"]) == 1, F.get(x["stems"], F.lit(0)))
-            only = F.when(F.size(coded) == 1, F.get(coded, F.lit(0))["ord"]).when(F.size(told) == 1, F.get(told, F.lit(0))["ord"])
-            confidence = (
-                F.when(x["exact"].isNotNull(), "exact").when(by_stem.isNotNull(), "stem").when(F.size(coded) == 1, "code")
-                .when(F.size(told) == 1, "code+keyword").when(F.size(coded) > 1, "ambiguous").otherwise("none")
-            )
-            return let({"item": F.coalesce(x["exact"], by_stem, only), "confidence": confidence}, kept)
-
-        def kept(x: Column) -> Column:
-            used = F.when(x["item"].isNotNull(), F.concat(state["used"], F.array(x["item"]))).otherwise(state["used"])
-            found = F.named_struct(F.lit("ord"), t["ord"], F.lit("item"), x["item"], F.lit("confidence"), x["confidence"])
-            return F.named_struct(F.lit("used"), used, F.lit("found"), F.concat(state["found"], F.array(found))).cast(kind)
-
-        def by_keys(x: Column) -> Column:
-            exact = F.when(~F.array_contains(state["used"], x["exact"]), x["exact"])
-            return let({"exact": exact, "stems": ords("stem", x["free"]), "coded": x["coded"], "told": told_by(x["coded"])}, settled)
-
-        def alike(x: Column) -> Column:
-            return let({"exact": F.array_max(ords("whole", items)), "free": x["free"], "coded": F.filter(x["free"], lambda i: i["code"] == t["code"])}, by_keys)
-
-        return let({"free": F.filter(items, lambda i: ~F.array_contains(state["used"], i["ord"]))}, alike)
-
-    begin = F.named_struct(F.lit("used"), F.array(), F.lit("found"), F.array()).cast(kind)
-    return F.aggregate(tables, begin, step, lambda s: s["found"])
+    names = ["part", "is_table", "ord", "whole", "stem", "code", "text", "words"]
+    now, free = None, Free()
+    for batch in batches:
+        out: list[tuple] = []
+        for part, is_table, ord_, whole, stem, code, text, words in zip(*(batch.column(n).to_pylist() for n in names)):
+            if part != now:
+                now, free = part, Free()
+            if not is_table:
+                free.add(ord_, whole, stem, code, text, words)
+                continue
+            item, confidence = free.settle(whole, stem, code, text)
+            if item is not None:
+                free.take(item)
+            out.append((ord_, item, confidence))
+        columns = list(zip(*out)) or [(), (), ()]
+        scopes = batch.filter(batch.column("is_table")).column("scope")
+        yield pa.RecordBatch.from_arrays([scopes, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], ["scope", "ord", "item", "confidence"])
 
 
 def matched(tables: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -87,17 +143,24 @@ def matched(tables: DataFrame, inventory: DataFrame) -> DataFrame:
     marks = [F.concat(F.lit(f"{k[0]}:"), F.col(k)) for k in ("whole", "stem", "code")]
     ends = left.select("scope", F.lit("t").alias("side"), "ord", F.explode(F.array(*marks)).alias("mark")).unionByName(right.select("scope", F.lit("i").alias("side"), "ord", F.explode(F.array(*marks)).alias("mark")))
     ends = ends.where("mark is not null").select("scope", "mark", F.struct("scope", "side", "ord").alias("id"))
-    edges = ends.join(ends.groupBy("scope", "mark").agg(F.min("id").alias("first")), ["scope", "mark"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    nodes = left.select(F.struct("scope", F.lit("t").alias("side"), "ord").alias("id")).unionByName(right.select(F.struct("scope", F.lit("i").alias("side"), "ord").alias("id")))
-    part = components(nodes, edges).select(F.col("id.scope").alias("scope"), F.col("id.side").alias("side"), F.col("id.ord").alias("ord"), "component")
-
-    def gathered(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-        each = rows.join(part.where(F.col("side") == side).drop("side"), ["scope", "ord"])
-        return each.groupBy("component").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "whole", "stem", "code", *columns))).alias(f"all_{side}"))
-
-    none = F.filter("all_i", lambda i: i["ord"].isNotNull())
-    both = gathered(left, "t", "said").join(gathered(right, "i", "told", "words"), "component", "left")
-    found = both.select(F.col("component.scope").alias("scope"), F.explode(assigned(F.col("all_t"), F.coalesce(none, F.slice(F.array(F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("ord", "long"), ("whole", "string"), ("stem", "string"), ("code", "string"), ("told", "string"), ("words", "array<string>"))))), 1, 0)))).alias("x")).select("scope", "x.*")
+    # A key links only if a table and a row have it: tables alone with one take nothing from each other.
+    firsts = ends.groupBy("scope", "mark").agg(F.min("id").alias("first"), F.max("id.side").alias("last")).where("first.side = 'i' and last = 't'")
+    edges = ends.join(firsts, ["scope", "mark"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    edges = checkpointed(edges)
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    part = components(nodes, edges).select(F.col("id.scope").alias("scope"), F.col("id.side").alias("side"), F.col("id.ord").alias("ord"), F.col("component.ord").alias("part"))
+
+    def of_part(rows: DataFrame, side: str, text: str, words: Column) -> DataFrame:
+        mine = part.where(F.col("side") == side).drop("side")
+        return rows.join(mine, ["scope", "ord"], "inner" if side == "i" else "left").select(
+            F.to_json(F.struct("scope", F.coalesce(F.concat(F.lit("i"), "part"), F.concat(F.lit("t"), F.col("ord"))).alias("p"))).alias("part"),
+            F.lit(side == "t").alias("is_table"), "scope", F.col("ord").cast("long").alias("ord"), "whole", "stem", "code", F.col(text).alias("text"), words.alias("words"),
+        )
+
+    # A table without a part has nothing to take and is a part of its own.
+    together = of_part(right, "i", "told", F.col("words")).unionByName(of_part(left, "t", "said", F.lit(None).cast("array<string>")))
+    ordered = dealt(together, "part").sortWithinPartitions("part", "is_table", "ord")
+    found = ordered.mapInArrow(assigned, ordered.select("scope", "ord", F.lit(None).cast("long").alias("item"), F.lit(None).cast("string").alias("confidence")).schema)
     found = found.join(inventory.select("scope", F.col("ord").cast("long").alias("item"), "workbook"), ["scope", "item"], "left")
     whole = tables.select("scope", F.col("ord").cast("long").alias("ord"), F.coalesce("source_file", F.lit("")).alias("file"), F.coalesce(base_title(F.col("title")), F.lit("")).alias("base"))
     placed = found.join(whole, ["scope", "ord"])

@@ -46,3 +46,13 @@ def test_empty_sides(spark):
     one = spark.createDataFrame([(1, 1, "A", "T", "t", "s", "f")], TABLES)
     assert inventory.matched(none_t, none_i).count() == 0
     assert [(r.item, r.confidence) for r in inventory.matched(one, none_i).collect()] == [(None, "none")]
+
+
+def test_a_key_that_no_row_has_links_no_tables(spark, monkeypatch):
+    tables = [(1, k, "w_1", None, "t", "s", "f") for k in range(50)] + [(1, 50, "A_1", None, "t", "s", "f")]
+    items = [(1, 1, "w", "A_1", None, None), (1, 2, "w", "B_1", "b1", None), (1, 3, "w", "B_1", "b1", None)]
+    seen, components = [], inventory.components
+    monkeypatch.setattr(inventory, "components", lambda nodes, edges: seen.append(edges.count()) or components(nodes, edges))
+    found = inventory.matched(spark.createDataFrame(tables, TABLES), spark.createDataFrame(items, ITEMS))
+    assert [(r.ord, r.item) for r in found.where("item is not null").collect()] == [(50, 1)]
+    assert seen == [1]
