@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.functions.stacks import let
-from quillgrid.operators.matching import components
+from quillgrid.operators.matching import checkpointed, components
 
 SIDES = ("x0", "y0", "x1", "y1")
 # Shares of the union and of the smaller box from which two boxes show one table; methods, the surest first.
 SAME_UNION, SAME_SMALLER = 0.55, 0.65
 METHODS = ("lines_strict", "lines", "text")
+#: Units of up to this many boxes are met box by box; tiles and components are for larger ones.
+FEW = 64
 
 
 def shares(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:
@@ -25,10 +27,32 @@ def shares(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:
     return F.when(some, both / (area[0] + area[1] - both)).otherwise(0.0), F.when(some, both / F.least(*area)).otherwise(0.0)
 
 
+def crowded(boxes: DataFrame, unit: str) -> DataFrame:
+    """The units of more than FEW boxes, computed now."""
+    return checkpointed(boxes.groupBy(unit).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(unit))
+
+
 def overlapping(boxes: DataFrame, unit: str, key: str) -> DataFrame:
     """unit, a, b (a before b), iou and of_smaller for each pair of boxes of one unit that share an area.
 
-    boxes: unit, key, x0, y0, x1 and y1. Tiles have powers of two as sides; a box stands in the at most four tiles of the
+    boxes: unit, key, x0, y0, x1 and y1. Units of few boxes are gathered and paired as they are, larger ones through
+    tiles. Boxes without area share none.
+    """
+    many = crowded(boxes, unit)
+    sized = boxes.join(many, unit, "left_anti").select(unit, F.col(key).alias("key"), *(F.col(c).cast("double").alias(c) for c in SIDES)).where("x1 > x0 and y1 > y0")
+    gathered = sized.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.collect_list(F.struct("key", *SIDES)).alias("all"))
+    met = gathered.select(unit, "all", F.explode("all").alias("p")).select(unit, "p", F.explode("all").alias("q")).where("p.key < q.key")
+    p, q = ({c: F.col(f"{name}.{c}") for c in SIDES} for name in "pq")
+    met = met.where((F.least(p["x1"], q["x1"]) > F.greatest(p["x0"], q["x0"])) & (F.least(p["y1"], q["y1"]) > F.greatest(p["y0"], q["y0"])))
+    iou, of_smaller = shares(p, q)
+    found = met.select(unit, F.col("p.key").alias("a"), F.col("q.key").alias("b"), iou.alias("iou"), of_smaller.alias("of_smaller")).where("iou > 0")
+    return found if many.isEmpty() else found.unionByName(tiled(boxes.join(many, unit, "left_semi"), unit, key))
+
+
+def tiled(boxes: DataFrame, unit: str, key: str) -> DataFrame:
+    """overlapping(), through tiles for all units.
+
+    Tiles have powers of two as sides; a box stands in the at most four tiles of the
     size next above its own, and, to meet larger boxes, in those of each larger size that any box has. The pair counts in the
     tile that holds the upper left corner of what it shares, so it comes up once. Boxes without area share none.
     """
@@ -62,8 +86,8 @@ def deduped(candidates: DataFrame, unit: str, key: str) -> DataFrame:
 
     candidates: unit, key, method, x0, y0, x1, y1, n_rows and n_cols. They come in by method, upper edge and key. One that shows
     the table of a kept one goes, unless it is much richer than the richest such one: then it takes the place of all of
-    them. Text never replaces ruled tables. Only candidates linked by overlaps decide about each other, so each
-    such set is folded by itself. Without a box a candidate stays; an unknown method comes last.
+    them. Text never replaces ruled tables. Only candidates linked by overlaps decide about each other, so in
+    units of more than FEW each such set is folded by itself. Without a box a candidate stays; an unknown method comes last.
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, METHODS)), F.col("method")), F.lit(0)).cast("int") - 1, F.lit(9))
     empty = (F.coalesce("n_rows", F.lit(0)) <= 0) | (F.coalesce("n_cols", F.lit(0)) <= 0)
@@ -71,17 +95,26 @@ def deduped(candidates: DataFrame, unit: str, key: str) -> DataFrame:
         F.struct(F.col("n_cols").cast("long").alias("wide"), (F.col("n_rows").cast("long") * F.col("n_cols")).alias("cells"), F.greatest(3 - rank, F.lit(0)).alias("bonus"))
     )
     held = candidates.select(unit, F.col(key).alias("key"), rank.alias("rank"), F.coalesce("y0", F.lit(0)).cast("double").alias("top"), (F.coalesce("method", F.lit("")) == "text").alias("loose"), F.coalesce(F.startswith("method", F.lit("lines")), F.lit(False)).alias("ruled"), score.alias("score"), *(F.col(c).cast("double").alias(c) for c in SIDES))
-    pairs = overlapping(candidates, unit, key).where(f"iou >= {SAME_UNION} or of_smaller >= {SAME_SMALLER}")
-    edges = pairs.select(F.struct(F.col(unit).alias("u"), F.col("a").alias("k")).alias("a"), F.struct(F.col(unit).alias("u"), F.col("b").alias("k")).alias("b"))
-    linked = components(held.select(F.struct(F.col(unit).alias("u"), F.col("key").alias("k")).alias("id")), edges)
-    linked = linked.select(F.col("id.u").alias(unit), F.col("id.k").alias("key"), F.col("component.k").alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "top", "key", "loose", "ruled", "score", *SIDES)))
-    kept = held.join(linked, [unit, "key"]).groupBy(unit, "part").agg(ordered.alias("all")).select(unit, F.explode(survivors(F.col("all"))).alias("k"))
+    many = crowded(candidates, unit)
+    kept = held.join(many, unit, "left_anti").groupBy(unit).agg(ordered.alias("all")).select(unit, F.explode(survivors(F.col("all"))).alias("k"))
+    if not many.isEmpty():
+        parts = linked_parts(held.join(many, unit, "left_semi"), candidates.join(many, unit, "left_semi"), unit, key)
+        kept = kept.unionByName(parts.groupBy(unit, "part").agg(ordered.alias("all")).select(unit, F.explode(survivors(F.col("all"))).alias("k")))
     place = F.row_number().over(W.partitionBy(unit).orderBy("k.top", "k.rank", "k.key")) - 1
     staying = kept.select(unit, F.col("k.key").alias(key), place.alias("place"))
     return candidates.join(staying, [unit, key])
 
 
+def linked_parts(held: DataFrame, candidates: DataFrame, unit: str, key: str) -> DataFrame:
+    """held with part: the set of candidates of its unit that each is linked to by overlaps."""
+    pairs = tiled(candidates, unit, key).where(f"iou >= {SAME_UNION} or of_smaller >= {SAME_SMALLER}")
+    edges = pairs.select(F.struct(F.col(unit).alias("u"), F.col("a").alias("k")).alias("a"), F.struct(F.col(unit).alias("u"), F.col("b").alias("k")).alias("b"))
+    linked = components(held.select(F.struct(F.col(unit).alias("u"), F.col("key").alias("k")).alias("id")), edges)
+    linked = linked.select(F.col("id.u").alias(unit), F.col("id.k").alias("key"), F.col("component.k").alias("part"))
+    return held.join(linked, [unit, "key"])
+
+
 def survivors(ordered: Column) -> Column:
     """What is left of an ordered array of candidates as each meets those kept so far."""
 

@@ -141,3 +141,26 @@ def test_alignment_by_place_key_or_neither(spark):
     for r in restore.aligned(grid(spark, mine), grid(spark, cand), "unit").orderBy("unit", "row").collect():
         got.setdefault(r.unit, []).append(r.candidate_row)
     assert got == {"equal": [0, 1], "keyed": [1, 2], "placed": [0, 1], "longer": [0, None], "alone": [None]}
+
+
+def test_few_boxes_on_a_page_need_no_components(spark, monkeypatch):
+    from quillgrid.operators import boxes
+
+    def never(*_):
+        raise AssertionError("components were asked for")
+
+    monkeypatch.setattr(boxes, "components", never)
+    form = "page int, box int, method string, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int"
+    frame = spark.createDataFrame([(1, 1, "lines", 0.0, 0.0, 10.0, 10.0, 3, 3), (1, 2, "text", 1.0, 1.0, 10.0, 10.0, 9, 9), (1, 3, "text", 20.0, 0.0, 30.0, 10.0, 2, 2), (2, 4, "text", 0.0, 0.0, 10.0, 10.0, 2, 2)], form)
+    assert sorted((r.page, r.box, r.place) for r in boxes.deduped(frame, "page", "box").collect()) == [(1, 1, 0), (1, 3, 1), (2, 4, 0)]
+
+
+def test_many_boxes_on_a_page_meet_as_few_do(spark, monkeypatch):
+    from quillgrid.operators import boxes
+
+    form = "page int, box int, method string, x0 double, y0 double, x1 double, y1 double, n_rows int, n_cols int"
+    rows = [(p, k, boxes.METHODS[k % 3], float(k * 7 % 40), float(k * 5 % 30), float(k * 7 % 40 + 6 + k % 9), float(k * 5 % 30 + 4 + k % 7), k % 6, k % 5) for p, n in ((1, 40), (2, 12)) for k in range(n)]
+    frame = spark.createDataFrame(rows, form)
+    few = [sorted(map(tuple, f(frame, "page", "box").collect())) for f in (boxes.deduped, boxes.overlapping)]
+    monkeypatch.setattr(boxes, "FEW", 20)
+    assert [sorted(map(tuple, f(frame, "page", "box").collect())) for f in (boxes.deduped, boxes.overlapping)] == few
