@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.functions import cells as C
+from quillgrid.functions.stacks import let, steps
 
 #: What a reader puts behind the second and later of equal names.
 NUMBERED = r"\s*\([0-9]+\)\s*$"
@@ -14,8 +15,7 @@ NUMBERED = r"\s*\([0-9]+\)\s*$"
 
 def in_a_row(flags: Column) -> Column:
     """How many flags at the start of an array are true."""
-    stop = F.array_position(flags, False)
-    return F.when(stop > 0, stop - 1).otherwise(F.size(flags)).cast("int")
+    return let({"flags": flags}, lambda x: F.coalesce(F.nullif(F.array_position(x["flags"], False), F.lit(0)) - 1, F.size(x["flags"])).cast("int"))
 
 
 def spread_numbers(cells: Column) -> Column:
@@ -27,17 +27,33 @@ def spread_numbers(cells: Column) -> Column:
     kind = "struct<cells:array<string>,next:int>"
 
     def step(state: Column, j: Column) -> Column:
-        now = state["cells"]
-        text = C.canonical(F.get(now, j))
-        parts = F.split(text, " ")
-        n = F.size(parts)
-        blank = F.transform(now, lambda c: C.canonical(c) == "")
-        after = in_a_row(F.slice(blank, j + 2, F.size(now)))
-        before = in_a_row(F.reverse(F.slice(blank, F.lit(1), j)))
-        start = F.when(n <= after + 1, j).when(n <= before + 1, j - n + 1).when(n <= before + after + 1, j + after - n + 1)
-        glued = (j >= state["next"]) & (n >= 2) & F.forall(parts, lambda p: C.size_of(p).isNotNull()) & start.isNotNull()
-        filled = F.transform(now, lambda c, i: F.when((i >= start) & (i < start + n), F.get(parts, i - start)).otherwise(c))
-        return F.when(glued, F.named_struct(F.lit("cells"), filled, F.lit("next"), start + n).cast(kind)).otherwise(state)
+        def parted(x: Column) -> dict[str, Column]:
+            # Nothing is looked for around a cell that is filled already or no glued numbers.
+            parts = F.when(j >= state["next"], F.split(C.canonical(F.get(state["cells"], j)), " "))
+            return {"parts": parts}
+
+        def looked(x: Column) -> dict[str, Column]:
+            glued = (F.size(x["parts"]) >= 2) & F.forall(x["parts"], lambda p: C.size_of(p).isNotNull())
+            return {"parts": F.when(glued, x["parts"])}
+
+        def counted(x: Column) -> dict[str, Column]:
+            blank = F.when(x["parts"].isNotNull(), F.transform(state["cells"], lambda c: C.canonical(c) == ""))
+            return {"parts": x["parts"], "n": F.size(x["parts"]), "blank": blank}
+
+        def bounded(x: Column) -> dict[str, Column]:
+            after, before = in_a_row(F.slice(x["blank"], j + 2, F.size(x["blank"]))), in_a_row(F.reverse(F.slice(x["blank"], F.lit(1), j)))
+            return {"parts": x["parts"], "n": x["n"], "after": after, "before": before}
+
+        def placed(x: Column) -> dict[str, Column]:
+            n, after, before = x["n"], x["after"], x["before"]
+            start = F.when(n <= after + 1, j).when(n <= before + 1, j - n + 1).when(n <= before + after + 1, j + after - n + 1)
+            return {"parts": x["parts"], "n": n, "start": F.when(x["parts"].isNotNull(), start)}
+
+        def filled(x: Column) -> Column:
+            now = F.transform(state["cells"], lambda c, i: F.when((i >= x["start"]) & (i < x["start"] + x["n"]), F.get(x["parts"], i - x["start"])).otherwise(c))
+            return F.when(x["start"].isNotNull(), F.named_struct(F.lit("cells"), now, F.lit("next"), x["start"] + x["n"]).cast(kind)).otherwise(state)
+
+        return steps({"at": j}, parted, looked, counted, bounded, placed, body=filled)
 
     begin = F.named_struct(F.lit("cells"), cells, F.lit("next"), F.lit(0)).cast(kind)
     places = F.when(F.size(cells) > 0, F.sequence(F.lit(0), F.size(cells) - 1)).otherwise(F.array().cast("array<int>"))

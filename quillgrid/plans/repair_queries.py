@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import replies
 from quillgrid.operators import repairs, stacked, tables
-from quillgrid.session import table
+from quillgrid.session import dealt, table
 
 #: Texts that both engines read.
 GLUED = """SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN concat(p_name, '|', p_size, ' ', p_partkey, '|||9') WHEN 1 THEN concat(p_name, '||', p_size, ' 2 3||') WHEN 2 THEN concat('||', p_size, ' (4.5) ', p_partkey, '|x|7')
@@ -27,7 +27,8 @@ REPLY = """SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN concat('Sure: `
 
 def read(spark: SparkSession, sf: str, text: str) -> DataFrame:
     table(spark, sf, "part").createOrReplaceTempView("quillgrid_part")
-    return spark.sql(text.replace("FROM part", "FROM quillgrid_part").replace("chr(10)", "char(10)"))
+    rows = spark.sql(text.replace("FROM part", "FROM quillgrid_part").replace("chr(10)", "char(10)"))
+    return dealt(rows, "k" if "k" in rows.columns else "row")
 
 
 def glued_spread(spark: SparkSession, sf: str) -> DataFrame:
