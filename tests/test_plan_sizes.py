@@ -22,3 +22,8 @@ def test_stacked_apart_computes_what_comes_before_once(spark):
 
 def test_glued_spread_writes_each_step_once(spark):
     assert plan_size(spark, "glued_spread") < 10_000
+
+
+def test_json_extracted_is_dealt_and_reads_each_object_once(spark):
+    assert plan_size(spark, "json_extracted") < 5_500
+    assert "Repartition" in entry.queries()["json_extracted"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
