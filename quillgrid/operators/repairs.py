@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import cells as C
 from quillgrid.functions.stacks import let, steps
+from quillgrid.session import unsent
 
 #: What a reader puts behind the second and later of equal names.
 NUMBERED = r"\s*\([0-9]+\)\s*$"
@@ -89,14 +90,14 @@ def coalesced(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[DataFrame
     keyed = columns.select(unit, "col", "name", "path", key.alias("key"))
     keyed = keyed.withColumn("run", F.sum(F.coalesce((F.col("key") != F.lag("key").over(along)).cast("int"), F.lit(1))).over(along))
     wide = keyed.groupBy(unit, "run").agg(F.count(F.lit(1)).alias("wide"))
-    each = long_cells(rows, unit).join(keyed.select(unit, "col", "run"), [unit, "col"])
+    each = long_cells(rows, unit).join(unsent(keyed.select(unit, "col", "run")), [unit, "col"])
     differ = each.where("text <> ''").groupBy(unit, "run", "row").agg(F.countDistinct("text").alias("d")).where("d >= 2")
     apart = differ.groupBy(unit, "run").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(unit, "run", F.lit(True).alias("apart"))
     runs = wide.join(apart, [unit, "run"], "left").select(unit, "run", (F.col("apart").isNotNull() | (F.col("wide") == 1)).alias("alone"), "wide")
     placed = keyed.join(runs, [unit, "run"]).withColumn("new", F.dense_rank().over(W.partitionBy(unit).orderBy("run", F.when(F.col("alone"), F.col("col")).otherwise(-1))) - 1)
     name = F.when(F.col("alone") | (bare_name(F.col("name")) == ""), F.col("name")).otherwise(bare_name(F.col("name")))
     heads = placed.groupBy(unit, F.col("new").alias("col")).agg(F.min_by(F.struct(name.alias("name"), "path"), "col").alias("x")).select(unit, "col", "x.*")
-    pieces = each.drop("run").join(placed.select(unit, "col", "new"), [unit, "col"]).groupBy(unit, "row", "new").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("p"))
+    pieces = each.drop("run").join(unsent(placed.select(unit, "col", "new")), [unit, "col"]).groupBy(unit, "row", "new").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("p"))
     merged = pieces.select(unit, "row", F.col("new").alias("col"), F.aggregate("p", F.lit(""), lambda a, x: joined_text(a, x["text"])).alias("text"))
     return as_rows(merged, unit), heads
 
@@ -104,7 +105,7 @@ def coalesced(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[DataFrame
 def as_rows(cells: DataFrame, unit: str) -> DataFrame:
     """unit, row and cells from cells one by one (unit, row, col from 0 and text); blank and missing ones are null."""
     width = cells.groupBy(unit).agg((F.max("col") + 1).alias("w"))
-    held = cells.groupBy(unit, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).join(width, unit)
+    held = cells.groupBy(unit, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).join(unsent(width), unit)
     return held.select(unit, "row", F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda c: F.nullif(F.col("m")[c], F.lit(""))).alias("cells"))
 
 
@@ -130,7 +131,7 @@ def without_parents(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[Dat
     over = shifts.groupBy(unit).agg(F.collect_list(F.struct("head", "last")).alias("blocks"))
     inside = F.exists(F.coalesce("blocks", F.array().cast("array<struct<head:int,last:int>>")), lambda b: (F.col("col") >= b["head"]) & (F.col("col") <= b["last"]))
     # The last column of such a block is blank, so nothing moves out of it.
-    moved = cells.join(over, unit, "left").select(unit, "row", F.when(inside & (F.col("text") != ""), F.col("col") + 1).otherwise(F.col("col")).alias("col"), "text", inside.alias("inside"))
+    moved = cells.join(unsent(over), unit, "left").select(unit, "row", F.when(inside & (F.col("text") != ""), F.col("col") + 1).otherwise(F.col("col")).alias("col"), "text", inside.alias("inside"))
     moved = moved.where("text <> ''").select(unit, "row", "col", "text")
     used = moved.select(unit, "col").distinct().withColumn("used", F.lit(True))
     groups = named.where("group <> ''").select(unit, F.col("group").alias("low")).distinct().withColumn("is_group", F.lit(True))
@@ -140,7 +141,7 @@ def without_parents(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[Dat
     kept = kept.withColumn("new", F.row_number().over(along) - 1)
     names = kept.select(unit, F.col("new").alias("col"), "name", "path")
     width = names.groupBy(unit).agg(F.count(F.lit(1)).cast("int").alias("w"))
-    placed = moved.join(kept.select(unit, "col", "new"), [unit, "col"]).groupBy(unit, "row").agg(F.map_from_entries(F.collect_list(F.struct("new", "text"))).alias("m"))
-    whole = rows.select(unit, "row").join(width, unit).join(placed, [unit, "row"], "left")
+    placed = moved.join(unsent(kept.select(unit, "col", "new")), [unit, "col"]).groupBy(unit, "row").agg(F.map_from_entries(F.collect_list(F.struct("new", "text"))).alias("m"))
+    whole = rows.select(unit, "row").join(unsent(width), unit).join(unsent(placed), [unit, "row"], "left")
     blank = F.create_map().cast("map<int,string>")
     return whole.select(unit, "row", F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda c: F.coalesce("m", blank)[c]).alias("cells")), names

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import replies
 from quillgrid.operators import repairs, stacked, tables
-from quillgrid.session import dealt, table
+from quillgrid.session import dealt, table, unsent
 
 #: Texts that both engines read.
 GLUED = """SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN concat(p_name, '|', p_size, ' ', p_partkey, '|||9') WHEN 1 THEN concat(p_name, '||', p_size, ' 2 3||') WHEN 2 THEN concat('||', p_size, ' (4.5) ', p_partkey, '|x|7')
@@ -48,7 +48,7 @@ def extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def shown(rows: DataFrame, names: DataFrame) -> DataFrame:
     line = names.groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "name"))), lambda x: x["name"]), "|").alias("names"))
-    return rows.join(line, "unit").select("unit", "row", "names", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
+    return rows.join(unsent(line), "unit").select("unit", "row", "names", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
 
 
 def phantom_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,7 @@ def shares_folded(spark: SparkSession, sf: str) -> DataFrame:
 def tables_built(spark: SparkSession, sf: str) -> DataFrame:
     rows, columns = tables.built(stacked_grids(spark, sf), "unit")
     names = columns.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "name"))), lambda x: x["name"]).alias("names"))
-    return rows.join(names, "unit").select("unit", "row", F.array_join("names", "|").alias("names"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
+    return rows.join(unsent(names), "unit").select("unit", "row", F.array_join("names", "|").alias("names"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
 
 
 QUERIES |= {"shares_folded": shares_folded, "tables_built": tables_built}
