@@ -2,46 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgrid.functions.stacks import let
 from quillgrid.functions.text import base_title, title_tokens
-from quillgrid.operators.matching import components
+from quillgrid.session import dealt, unsent
 
 # Shared words that make two titles agree, and the share of the shorter one that does.
 SHARED, CONTAINED = 2, 0.7
 
 
-def agree(a: Column, b: Column) -> Column:
-    """Whether two arrays of title tokens agree; never where one is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return (both >= SHARED) | ((both >= 1) & (both >= CONTAINED * F.least(F.size(a), F.size(b))))
-
-
-def all_agree(titles: Column) -> Column:
-    """Whether two titles or more of an array of tokens are all in agreement with each other."""
-    def of(x: Column) -> Column:
-        return (F.size(x["t"]) >= 2) & F.forall(F.transform(x["t"], lambda a, i: F.forall(F.slice(x["t"], i + 2, F.size(x["t"])), lambda b: agree(a, b))), lambda ok: ok)
+def agree(a: list[str], b: list[str]) -> bool:
+    """Whether two lists of title tokens agree; never where one is empty."""
+    both = len(set(a) & set(b))
+    return both >= SHARED or (both >= 1 and both >= CONTAINED * min(len(a), len(b)))
 
-    return let({"t": titles}, of)
 
+def all_agree(titles: list[list[str]]) -> bool:
+    """Whether two titles or more are all in agreement with each other."""
+    return len(titles) >= 2 and all(agree(a, b) for a, b in combinations(titles, 2))
 
-def taken(proposals: Column) -> Column:
-    """Of an ordered array of proposals (ord, members of id, blank and tokens) those that are accepted, with their ids."""
-    kind = "struct<used:array<string>,found:array<struct<ord:bigint,ids:array<string>>>>"
 
-    def step(state: Column, p: Column) -> Column:
-        def of(x: Column) -> Column:
-            free = x["free"]
-            ids = F.transform(free, lambda m: m["id"])
-            good = (F.size(free) >= 2) & all_agree(F.transform(F.filter(free, lambda m: ~m["blank"]), lambda m: m["tokens"]))
-            more = F.named_struct(F.lit("used"), F.concat(state["used"], ids), F.lit("found"), F.concat(state["found"], F.array(F.named_struct(F.lit("ord"), p["ord"], F.lit("ids"), ids)))).cast(kind)
-            return F.when(good, more).otherwise(state)
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """scope, ord and ids of the proposals that are accepted; they come scope by scope, in order, with their members.
 
-        return let({"free": F.filter(p["members"], lambda m: ~F.array_contains(state["used"], m["id"]))}, of)
-
-    return F.aggregate(proposals, F.named_struct(F.lit("used"), F.array(), F.lit("found"), F.array()).cast(kind), step, lambda s: s["found"])
+    An id that has been used is held until the last proposal that has it (last) has passed.
+    """
+    now, used = None, set()
+    for batch in batches:
+        rows, found = [], []
+        for i, (scope, members) in enumerate(zip(batch.column("scope").to_pylist(), batch.column("members").to_pylist())):
+            if scope != now:
+                now, used = scope, set()
+            free = [m for m in members if m["id"] not in used]
+            if all_agree([m["tokens"] for m in free if not m["blank"]]):
+                rows.append(i)
+                found.append([m["id"] for m in free])
+                used.update(m["id"] for m in free)
+            used.difference_update(m["id"] for m in members if m["last"])
+        kept = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column("scope"), kept.column("ord"), pa.array(found, pa.list_(pa.string()))], ["scope", "ord", "ids"])
 
 
 def accepted_merges(proposals: DataFrame, singles: DataFrame) -> DataFrame:
@@ -50,16 +55,16 @@ def accepted_merges(proposals: DataFrame, singles: DataFrame) -> DataFrame:
     proposals: scope, ord (a long), confidence and ids (an array of text); singles: scope, id and title. Proposals come in by
     ord; only those of high confidence count. Of a proposal's tables those that are no single, repeated, or used by an
     accepted one before don't. At least two must be left, and of those with a title at least two, all of which agree: two
-    shared words, or 70 % of the shorter title. Only proposals linked by tables they share are settled together.
+    shared words, or 70 % of the shorter title. One task goes through a scope's proposals in order, as each may depend on all before;
+    it holds only ids that later proposals have too.
     """
     sure = proposals.where(F.lower(F.trim("confidence")) == "high").select("scope", F.col("ord").cast("long").alias("ord"), F.posexplode("ids").alias("at", "id"))
-    each = sure.select("scope", "ord", "at", F.trim("id").alias("id")).join(singles.select("scope", F.col("id"), "title"), ["scope", "id"])
-    each = each.groupBy("scope", "ord", "id", "title").agg(F.min("at").alias("at"))
     tokens = title_tokens(base_title(F.coalesce("title", F.lit(""))))
-    member = F.struct("at", "id", (F.trim(F.coalesce("title", F.lit(""))) == "").alias("blank"), tokens.alias("tokens"))
-    held = each.groupBy("scope", "ord").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    ends = each.select("scope", "id", F.struct("scope", "ord").alias("p"))
-    edges = ends.join(ends.groupBy("scope", "id").agg(F.min("p").alias("first")), ["scope", "id"]).where("p <> first").select(F.col("p").alias("a"), F.col("first").alias("b")).distinct()
-    part = components(held.select(F.struct("scope", "ord").alias("id")), edges).select(F.col("id.scope").alias("scope"), F.col("id.ord").alias("ord"), "component")
-    grouped = held.join(part, ["scope", "ord"]).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("ord", "members"))).alias("all"))
-    return grouped.select(F.col("component.scope").alias("scope"), F.explode(taken(F.col("all"))).alias("x")).select("scope", "x.ord", "x.ids")
+    single = singles.select("scope", "id", (F.trim(F.coalesce("title", F.lit(""))) == "").alias("blank"), tokens.alias("tokens"), "title")
+    each = sure.select("scope", "ord", "at", F.trim("id").alias("id")).join(unsent(single), ["scope", "id"])
+    each = each.groupBy("scope", "ord", "id", "title", "blank", "tokens").agg(F.min("at").alias("at"))
+    last = F.col("ord") == F.max("ord").over(W.partitionBy("scope", "id"))
+    member = F.struct("at", "id", "blank", "tokens", last.alias("last"))
+    held = each.select("scope", "ord", member.alias("member")).groupBy("scope", "ord").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    ordered = dealt(held, "scope").sortWithinPartitions("scope", "ord")
+    return ordered.mapInArrow(settled, ordered.select("scope", "ord", F.lit(None).cast("array<string>").alias("ids")).schema)

@@ -80,13 +80,12 @@ def singleton_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     title = F.when(key % 11 == 0, " ").otherwise(F.concat_ws(" ", "p_name", F.lit("of"), "p_type", F.when(key % 3 == 0, F.lit("(urban)"))))
     singles = part.where("p_partkey % 13 <> 0").select("p_brand", key.cast("string").alias("id"), title.alias("title")).withColumnRenamed("p_brand", "scope")
     near = F.array(*((key + F.col("p_size") * k).cast("string") for k in (0, 25, 50)), key.cast("string"), F.lit(None).cast("string"))
-    proposals = part.select(F.col("p_brand").alias("scope"), key.alias("ord"), F.when(key % 7 == 0, "medium").when(key % 2 == 0, " High ").otherwise("high").alias("confidence"), near.alias("own"), "p_type", "p_name")
-    # The tables of a brand with one kind or one noun, as a model would propose them.
-    kin = part.groupBy(F.col("p_brand").alias("scope"), "p_type").agg(F.array_sort(F.collect_list(key)).alias("kin"))
-    both = proposals.join(kin, ["scope", "p_type"])
-    at = F.array_position("kin", F.col("ord"))
-    picked = F.transform(F.slice("kin", F.greatest(at - 1, F.lit(1)).cast("int"), (2 + F.col("ord") % 3).cast("int")), lambda x: x.cast("string"))
-    return both.select("scope", "ord", "confidence", F.concat(picked, "own").alias("ids")), singles
+    # The tables of a brand with one kind, as a model would propose them: the one before, itself, and those behind.
+    kin = W.partitionBy("p_brand", "p_type").orderBy(key)
+    beside = F.array_compact(F.array(F.lag(key).over(kin), key, *(F.lead(key, i).over(kin) for i in (1, 2, 3))))
+    picked = F.transform(F.slice(beside, F.lit(1), (2 + key % 3).cast("int")), lambda x: x.cast("string"))
+    confidence = F.when(key % 7 == 0, "medium").when(key % 2 == 0, " High ").otherwise("high")
+    return part.select(F.col("p_brand").alias("scope"), key.alias("ord"), confidence.alias("confidence"), F.concat(picked, near).alias("ids")), singles
 
 
 def singleton_merges(spark: SparkSession, sf: str) -> DataFrame:
