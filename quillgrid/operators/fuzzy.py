@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.session import unsent
+
 # Edits that a word of up to 4, up to 8 and more letters may be away, and the longest word that edits are counted in.
 EDITS = ((4, 1), (8, 2))
 MOST_EDITS, LONGEST = 3, 32
@@ -115,7 +117,7 @@ def search(tables: DataFrame, queries: DataFrame, texts: list[str], key: str = "
     number = F.regexp_extract(bare, r"(?i)^(?:p(?:age)?\.?\s*)?([0-9]+)$", 1)
     asked = queries.select("query_id", F.nullif(number, F.lit("")).alias("number"), word_set(bare).alias("words"))
     own_page = F.trim(F.coalesce(F.col(page).cast("string"), F.lit("")))
-    by_page = tables.select(key, own_page.alias("number")).join(asked.where("number is not null").select("query_id", "number"), "number").select("query_id", key)
+    by_page = tables.select(key, own_page.alias("number")).join(unsent(asked.where("number is not null").select("query_id", "number")), "number").select("query_id", key)
     every = asked.where("number is null and size(words) = 0").select("query_id").join(tables.select(key), how="cross")
     spoken = asked.where("number is null and size(words) > 0")
     said = F.concat_ws(" ", *(F.coalesce(F.col(t).cast("string"), F.lit("")) for t in texts), F.when(own_page != "", F.concat(F.lit("page "), own_page)))
@@ -123,6 +125,6 @@ def search(tables: DataFrame, queries: DataFrame, texts: list[str], key: str = "
     tokens = spoken.select("query_id", F.size("words").alias("n"), F.explode("words").alias("asked"))
     words = held.select("word").distinct()
     pairs = meeting(tokens.select("asked").distinct(), words).where(fits(F.col("asked"), F.col("word")))
-    found = tokens.join(pairs, "asked").join(held, "word").select("query_id", "n", key, "asked").distinct().groupBy("query_id", key).agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
+    found = tokens.join(pairs, "asked").join(unsent(held), "word").select("query_id", "n", key, "asked").distinct().groupBy("query_id", key).agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
     return found.where("met = n").select("query_id", key).unionByName(by_page).unionByName(every)
 

@@ -17,3 +17,7 @@ def test_phantom_columns_shuffles_rows_and_cells(spark):
 
 def test_parent_columns_shuffles_rows_and_cells(spark):
     assert shuffled_joins(spark, "parent_columns") >= 5
+
+
+def test_fuzzy_search_shuffles_the_words_of_tables(spark):
+    assert shuffled_joins(spark, "fuzzy_search") >= 2
