@@ -1,7 +1,7 @@
 """Rows that a rebuilt table lost against the candidate it was rebuilt from, aligned and put back.
 
-Both sides are rows of a unit: row (from 0) and cells, an array of text. Rows meet by the text of their first cell or by all of it;
-each is a join on that text of the first row that has it on either side, so no rows of a unit are paired with each other.
+Both sides are rows of a unit: row (from 0) and cells, an array of text. Rows meet by the text of their first cell or by all of it,
+the first row that has it on either side, so no rows of a unit are paired with each other.
 """
 
 from __future__ import annotations
@@ -60,36 +60,44 @@ def restored(rebuilt: DataFrame, candidate: DataFrame, unit: str) -> DataFrame:
     candidate is more than one column wider or narrower, has no more rows, or nothing comes back. Cells are padded or cut
     to the rebuilt table's width, its widest row.
     """
-    width = rebuilt.groupBy(unit).agg(F.max(F.size("cells")).alias("width"), F.count(F.lit(1)).alias("n"))
-    there = candidate.groupBy(unit).agg(F.max(F.size("cells")).alias("wide"), F.count(F.lit(1)).alias("n_there"))
-    fit = width.join(there, unit).where("abs(wide - width) <= 1 and n_there > n").select(unit, "width")
-
-    def padded(rows: DataFrame) -> DataFrame:
-        cells = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.col("width"))), F.lit(1), F.col("width"))
-        key, whole = cell_key(F.get("cells", F.lit(0))), F.array_join(F.transform(said_cells(F.col("cells")), cell_key), "\u0001")
-        return rows.join(fit, unit).select(unit, "row", cells.alias("cells")).select(unit, "row", "cells", is_index_row(F.col("cells")).alias("index_row"), key.alias("key"), whole.alias("whole"))
-
-    mine, theirs = padded(rebuilt), padded(candidate)
-
-    def paired(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-        """mine and theirs: the first rows on either side with one text."""
-        first = a.where(F.col(by) != "").groupBy(unit, by).agg(F.min("row").alias("mine"))
-        return first.join(b.where(F.col(by) != "").groupBy(unit, by).agg(F.min("row").alias("theirs")), [unit, by]).select(unit, "mine", "theirs")
-
-    by_key = paired(mine.where("not index_row"), theirs.where("not index_row"), "key")
-    rest_mine = mine.join(by_key.select(unit, F.col("mine").alias("row")), [unit, "row"], "left_anti")
-    rest_theirs = theirs.join(by_key.select(unit, F.col("theirs").alias("row")), [unit, "row"], "left_anti")
-    pairs = by_key.unionByName(paired(rest_mine, rest_theirs, "whole"))
-    lead = theirs.groupBy(unit).agg(F.min(F.when(~F.col("index_row"), F.col("row"))).alias("first_row"))
-    lost = theirs.join(pairs.select(unit, F.col("theirs").alias("row")), [unit, "row"], "left_anti").join(lead, unit)
+    sides = [rows.select(unit, "row", "cells", F.lit(side).alias("theirs")) for rows, side in ((rebuilt, False), (candidate, True))]
+    in_unit = W.partitionBy(unit)
+    mine, theirs = ~F.col("theirs"), F.col("theirs")
+
+    def of_side(side: Column, value: Column) -> Column:
+        return F.when(side, value)
+
+    # One dealing by unit serves all windows below, which look at single rows and what their unit says of them.
+    size = F.size("cells")
+    rows = sides[0].unionByName(sides[1]).withColumns({
+        "width": F.max(of_side(mine, size)).over(in_unit), "wide": F.max(of_side(theirs, size)).over(in_unit),
+        "n": F.count(of_side(mine, F.lit(1))).over(in_unit), "n_there": F.count(of_side(theirs, F.lit(1))).over(in_unit),
+    })
+    fit = F.col(unit).isNotNull() & (F.abs(F.col("wide") - F.col("width")) <= 1) & (F.col("n_there") > F.col("n"))
+    rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False))).where("fit or not theirs")
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.col("width"))), F.lit(1), F.col("width"))
+    rows = rows.withColumn("padded", F.when(F.col("fit"), padded)).drop("wide", "n", "n_there", "width")
+    whole = F.array_join(F.transform(said_cells(F.col("padded")), cell_key), "\u0001")
+    rows = rows.withColumns({"index_row": F.when(F.col("fit"), is_index_row(F.col("padded"))), "key": F.when(F.col("fit"), cell_key(F.get("padded", F.lit(0)))), "whole": F.when(F.col("fit"), whole)})
+
+    def paired(rows: DataFrame, by: str, asks: Column, pair: str) -> DataFrame:
+        """rows with pair: for the first row on either side with one text, the other one."""
+        alike = W.partitionBy(unit, by)
+        asks = asks & (F.col(by) != "")
+        here, there = F.min(of_side(asks & mine, F.col("row"))).over(alike), F.min(of_side(asks & theirs, F.col("row"))).over(alike)
+        return rows.withColumns({"_here": here, "_there": there}).withColumn(pair, F.when(asks & mine & (F.col("row") == F.col("_here")), F.col("_there")).when(asks & theirs & (F.col("row") == F.col("_there")), F.col("_here"))).drop("_here", "_there")
+
+    rows = paired(rows, "key", F.col("fit") & ~F.col("index_row"), "by_key").drop("key")
+    rows = paired(rows, "whole", F.col("fit") & F.col("by_key").isNull(), "by_whole").drop("whole")
+    rows = rows.withColumn("other", F.coalesce("by_key", "by_whole")).drop("by_key", "by_whole")
+    first_row = F.min(of_side(theirs & ~F.col("index_row"), F.col("row"))).over(in_unit)
     leading = F.col("index_row") & (F.col("first_row").isNull() | (F.col("row") < F.col("first_row")))
-    back = lost.where(leading | (has_measures(F.col("cells")) & ~F.col("index_row")))
-    shown = F.transform("cells", lambda c: F.when(~is_placeholder(c), c))
-    back = back.select(unit, F.col("row").alias("at"), F.lit(0).alias("behind"), shown.alias("cells"), F.lit("restored").alias("source"))
-    changed = back.select(unit).distinct()
-    stayed = mine.join(pairs.select(unit, F.col("mine").alias("row"), "theirs"), [unit, "row"], "left").join(changed, unit, "left_semi")
-    stayed = stayed.select(unit, F.coalesce("theirs", F.col("row")).alias("at"), F.col("theirs").isNull().cast("int").alias("behind"), "cells", F.lit("kept").alias("source"))
-    place = F.row_number().over(W.partitionBy(unit).orderBy("behind", "at")) - 1
-    new = back.unionByName(stayed).select(unit, place.alias("row"), "cells", "source")
-    same = rebuilt.join(changed, unit, "left_anti").select(unit, "row", "cells", F.lit("kept").alias("source"))
-    return new.unionByName(same)
+    back = theirs & F.col("other").isNull() & (leading | (has_measures(F.col("padded")) & ~F.col("index_row")))
+    rows = rows.withColumn("first_row", first_row).withColumn("back", F.coalesce(back, F.lit(False))).where(mine | F.col("back"))
+    rows = rows.withColumn("changed", F.max("back").over(in_unit))
+    behind = (mine & F.col("other").isNull()).cast("int")
+    at = F.when(F.col("back"), F.col("row")).otherwise(F.coalesce("other", F.col("row")))
+    place = F.row_number().over(in_unit.orderBy(behind, at)) - 1
+    shown = F.transform("padded", lambda c: F.when(~is_placeholder(c), c))
+    cells = F.when(F.col("back"), shown).when(F.col("changed"), F.col("padded")).otherwise(F.col("cells"))
+    return rows.withColumn("place", place).select(unit, F.when(F.col("changed"), F.col("place")).otherwise(F.col("row")).alias("row"), cells.alias("cells"), F.when(F.col("back"), "restored").otherwise("kept").alias("source"))
