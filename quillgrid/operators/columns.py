@@ -138,13 +138,16 @@ def alignment_issues(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     value = F.col("value")
     blank = is_placeholder(value)
     direction = F.lower(F.trim(value)).isin("north", "south", "east", "west", "male", "female", "total")
-    found = cells.join(kinds, ["table_name", "column_name"]).groupBy("table_name", "column_name", "kind").agg(
+    # Cells are counted within each task first, whatever the kinds; only counts meet them.
+    facts = cells.groupBy("table_name", "column_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(blank.cast("int")).alias("blank"),
         F.avg(F.when(~blank, is_numeric(value).cast("int"))).alias("numeric"),
         F.avg(F.coalesce(direction, F.lit(False)).cast("int")).alias("direction"),
         F.avg(F.coalesce(value.rlike(r"^[0-9]+\s*,\s*\S"), F.lit(False)).cast("int")).alias("listed"),
     )
+    times = kinds.groupBy("table_name", "column_name", "kind").agg(F.count(F.lit(1)).alias("times"))
+    found = facts.join(times, ["table_name", "column_name"]).withColumn("n", F.col("n") * F.col("times"))
     issue = (
         F.when((F.col("kind") == "measure") & (F.col("n") >= 5) & (F.col("blank") >= 0.7), "empty_measure")
         .when((F.col("kind") == "measure") & (F.col("n") >= 5) & (F.col("numeric") < 0.5), "non_numeric_measure")
