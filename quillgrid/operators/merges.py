@@ -36,14 +36,15 @@ def is_sum(text: Column) -> Column:
 
 
 def column_roles(body: DataFrame, unit: str) -> DataFrame:
-    """unit, label, sparse, dense and open: for each column whether it holds labels, labels with gaps, labels that mostly differ, figures with gaps."""
-    each = body.select(unit, "names", F.posexplode("said").alias("col", "v"))
-    per_value = each.groupBy(unit, "col", F.get("names", F.col("col")).alias("name"), F.lower("v").alias("low")).agg(F.count(F.lit(1)).alias("n"))
+    """unit, label, sparse, dense and open: for each column whether it holds labels, labels with gaps, labels that mostly differ, figures with gaps; last_row."""
+    each = body.select(unit, "row", "names", F.posexplode("said").alias("col", "v"))
+    per_value = each.groupBy(unit, "col", F.get("names", F.col("col")).alias("name"), F.lower("v").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("last"))
     found = per_value.groupBy(unit, "col", F.lower(F.coalesce("name", F.lit(""))).alias("name")).agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("low").isNull(), F.col("n"))), F.lit(0)).alias("blank"),
         F.coalesce(F.sum(F.when(is_plain_figure(F.col("low")), F.col("n"))), F.lit(0)).alias("figures"),
         F.count("low").alias("distinct"),
+        F.max("last").alias("last"),
     )
     said = F.col("rows") - F.col("blank")
     label = F.col("name").rlike(LABEL_NAMES) | ((said >= 1) & (F.col("figures") <= NUMBERS * said))
@@ -51,7 +52,7 @@ def column_roles(body: DataFrame, unit: str) -> DataFrame:
     told = label & ~F.col("name").isin(*SEX_NAMES)
     dense = told & ~gaps & (said >= 2) & (F.col("distinct") >= F.greatest(F.lit(3), F.ceil(DISTINCT * said)))
     roles = F.array_sort(F.collect_list(F.struct("col", label.alias("label"), (told & gaps).alias("sparse"), dense.alias("dense"), (~label & gaps).alias("open"))))
-    return found.groupBy(unit).agg(roles.alias("r")).select(unit, *(F.col(f"r.{k}").alias(k) for k in ("label", "sparse", "dense", "open")))
+    return found.groupBy(unit).agg(roles.alias("r"), F.max("last").alias("last_row")).select(unit, *(F.col(f"r.{k}").alias(k) for k in ("label", "sparse", "dense", "open")), "last_row")
 
 
 def run_from(fits: Column, at: Column) -> Column:
@@ -72,8 +73,7 @@ def inferred(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.size("names"))), F.lit(1), F.size("names"))
     body = rows.join(columns.where(F.size("names") > 0), unit).select(unit, "row", "names", F.transform(F.coalesce(padded, F.array_repeat(F.lit(None).cast("string"), F.size("names"))), shown).alias("said"))
     roles = column_roles(body, unit).where(F.exists("label", lambda x: x))
-    last = body.groupBy(unit).agg(F.max("row").alias("last_row"))
-    whole = body.join(roles, unit).join(last, unit)
+    whole = body.join(roles, unit)
     labelled = F.zip_with("said", "label", lambda v, is_label: v.isNotNull() & is_label)
     whole = whole.withColumn("first_label", F.nullif(F.array_position(labelled, True), F.lit(0)) - 1)
     sums = F.exists(F.zip_with("said", "label", lambda v, is_label: is_label & is_sum(v)), lambda x: x)
@@ -83,11 +83,10 @@ def inferred(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     whole = whole.withColumn("free_label", F.zip_with("said", "label", lambda v, is_label: is_label & v.isNull())).withColumn("free_figure", F.zip_with("said", "label", lambda v, is_label: ~is_label & v.isNull()))
 
     along = W.partitionBy(unit, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    each = whole.select(unit, "row", "label", "sparse", "dense", "open", "first_label", "foot", "said", F.posexplode("said").alias("col", "v"))
-    each = each.withColumn("start", F.last(F.when(F.col("v").isNotNull(), F.col("row")), ignorenulls=True).over(along)).where("start is not null")
-
-    begun = whole.select(unit, F.col("row").alias("start"), F.col("said").alias("was"))
-    labels = each.where(F.get("label", F.col("col"))).join(begun, [unit, "start"])
+    each = whole.select(unit, "row", "sparse", "dense", "first_label", "foot", "section", "free_label", "free_figure", "said", F.posexplode(F.zip_with("label", "open", lambda a, b: F.struct(a.alias("is_label"), b.alias("is_open")))).alias("col", "kind"))
+    each = each.where("kind.is_label or kind.is_open").withColumn("text", F.get("said", F.col("col")))
+    each = each.withColumn("begun", F.last(F.when(F.col("text").isNotNull(), F.struct("row", F.col("said").alias("was"))), ignorenulls=True).over(along)).where("begun is not null")
+    each = each.withColumns({"start": F.col("begun.row"), "was": F.col("begun.was")})
     places = F.sequence(F.lit(0), F.size("said") - 1)
 
     def changed(c: Column) -> Column:
@@ -95,16 +94,23 @@ def inferred(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
         other = then.isNull() | (F.lower(then) != F.lower(now))
         return (c != F.col("col")) & now.isNotNull() & ((F.get("sparse", c) & other) | (F.get("dense", c) & other & (is_sum(now) | (then.isNotNull() & is_sum(then)))))
 
-    breaks = (F.col("row") > F.col("start")) & (F.coalesce(F.col("first_label") < F.col("col"), F.lit(False)) | F.exists(places, changed) | F.col("foot"))
-    spans = labels.groupBy(unit, "col", "start").agg(F.coalesce(F.min(F.when(breaks, F.col("row"))), F.max("row") + 1).alias("stop"))
-
-    inside = spans.join(whole.select(unit, "row", "first_label", "section", "free_label", "free_figure"), unit).where("row >= start and row < stop")
-    beside = F.when((F.col("row") == F.col("start")) & (F.col("first_label") < F.col("col")), 0).otherwise(run_from(F.col("free_label"), F.col("col") + 1))
-    spans = inside.groupBy(unit, "col", "start", "stop").agg((1 + F.min(beside)).alias("wide"), F.max(F.when((F.col("row") == F.col("start")) & F.col("section"), F.col("free_figure"))).alias("figures"))
-    on = F.when((F.col("stop") - F.col("start") == 1) & F.col("figures").isNotNull(), run_from(F.col("figures"), F.col("col") + F.col("wide"))).otherwise(0)
-    of_labels = spans.select(unit, F.col("start").alias("row"), "col", (F.col("stop") - F.col("start")).alias("row_span"), (F.col("wide") + on).alias("col_span"))
-    of_figures = each.where(F.get("open", F.col("col"))).groupBy(unit, F.col("start").alias("row"), "col").agg((F.max("row") - F.col("start") + 1).alias("row_span"), F.lit(1).alias("col_span"))
-    found = of_labels.select(unit, "row", "col", F.col("row_span").cast("int"), F.col("col_span").cast("int")).unionByName(of_figures.select(unit, "row", "col", F.col("row_span").cast("int"), F.col("col_span").cast("int")))
+    breaks = F.col("kind.is_label") & (F.col("row") > F.col("start")) & (F.coalesce(F.col("first_label") < F.col("col"), F.lit(False)) | F.col("foot") | F.exists(places, changed))
+    each = each.withColumn("break_row", F.when(breaks, F.col("row"))).drop("begun", "was", "sparse", "dense", "foot")
+    # A run's rows up to its first break; a break of a run before lies above the start.
+    inside = F.coalesce(F.max("break_row").over(along) <= F.col("start"), F.lit(True))
+    each = each.withColumn("inside", inside)
+    at_start = F.col("row") == F.col("start")
+    beside = F.when(at_start & (F.col("first_label") < F.col("col")), 0).otherwise(run_from(F.col("free_label"), F.col("col") + 1))
+    spans = each.groupBy(unit, "col", "start").agg(
+        F.first("kind.is_label").alias("is_label"),
+        F.coalesce(F.min("break_row"), F.max("row") + 1).alias("stop"),
+        (1 + F.min(F.when(F.col("inside") & F.col("kind.is_label"), beside))).alias("wide"),
+        F.max(F.when(at_start & F.col("section"), F.col("free_figure"))).alias("figures"),
+    )
+    high = F.col("stop") - F.col("start")
+    on = F.when((high == 1) & F.col("figures").isNotNull(), run_from(F.col("figures"), F.col("col") + F.col("wide"))).otherwise(0)
+    wide = F.when(F.col("is_label"), F.col("wide") + on).otherwise(1)
+    found = spans.select(unit, F.col("start").alias("row"), "col", high.cast("int").alias("row_span"), wide.cast("int").alias("col_span"))
     return found.where("row_span > 1 or col_span > 1")
 
 
