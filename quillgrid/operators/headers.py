@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.functions import cells as C
+from quillgrid.session import unsent
 
 # Rows that are looked at, and header levels that are taken at most.
 TOP_ROWS, MOST_LEVELS = 10, 8
@@ -93,7 +94,7 @@ def top_rows(rows: DataFrame, unit: str, row: str, cells: str) -> DataFrame:
     """
     held = F.coalesce(F.col(cells), F.array().cast("array<string>"))
     width = rows.groupBy(unit).agg(F.greatest(F.max(F.size(held)), F.lit(1)).alias("_width"))
-    top = rows.where(F.col(row) < TOP_ROWS).select(unit, F.col(row).alias("row"), held.alias("_held")).join(width, unit)
+    top = rows.where(F.col(row) < TOP_ROWS).select(unit, F.col(row).alias("row"), held.alias("_held")).join(unsent(width), unit)
     top = top.select(unit, "row", F.transform(F.slice(F.concat("_held", F.array_repeat(F.lit(None).cast("string"), F.col("_width"))), F.lit(1), F.col("_width")), C.canonical).alias("cells"))
     top = top.withColumns(row_facts(F.col("cells"))).withColumn("kinds", column_kinds(F.col("cells")))
     in_unit = W.partitionBy(unit).orderBy("row")
@@ -118,15 +119,14 @@ def top_rows(rows: DataFrame, unit: str, row: str, cells: str) -> DataFrame:
     return top.select(unit, "row", "cells", "kinds", "banner", role.alias("role"), count.cast("int").alias("header_count"))
 
 
-def filled_header(head: DataFrame, unit: str) -> DataFrame:
-    """unit, row, col and label of each header cell, filled down its column first, then right along its row.
+def filled_header(cells: DataFrame, unit: str) -> DataFrame:
+    """cells with each header label filled down its column first, then right along its row.
 
-    head: unit, row and cells (canonical texts). A label spans the blank rows below it, then the blank columns beside it.
+    cells: unit, row, col and label (canonical texts). A label spans the blank rows below it, then the blank columns beside it.
     """
-    cells = head.select(unit, "row", F.posexplode("cells").alias("col", "label"))
     down = F.last(F.nullif("label", F.lit("")), ignorenulls=True).over(W.partitionBy(unit, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0))
     right = F.last("_down", ignorenulls=True).over(W.partitionBy(unit, "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0))
-    return cells.withColumn("_down", down).select(unit, "row", "col", right.alias("label"))
+    return cells.withColumn("_down", down).withColumn("label", right).drop("_down")
 
 
 def column_paths(top: DataFrame, unit: str) -> DataFrame:
@@ -134,25 +134,26 @@ def column_paths(top: DataFrame, unit: str) -> DataFrame:
 
     top: what top_rows() gives. Repeated labels along a path count once, a table's number isn't part of it, and a stub column
     keeps its own label only. A column without labels is Col_1, Col_2 and so on by its place. display joins the path;
-    unique_name tells repeated displays of a unit apart by (2), (3) and so on.
+    unique_name tells repeated displays of a unit apart by (2), (3) and so on. header_count is the unit's.
     """
     head = top.where("role = 'header'")
     whole = W.partitionBy(unit)
     head = head.withColumn("_only_banners", F.min("banner").over(whole)).where(~F.col("banner") | F.col("_only_banners"))
-    kinds = head.groupBy(unit).agg(F.min_by("kinds", "row").alias("kinds"))
-    kinds = kinds.select(unit, F.posexplode("kinds").alias("col", "kind"))
+    # The kinds of the first header row go along with its cells, so that nothing is computed twice.
+    head = head.withColumn("_kinds", F.first("kinds").over(whole.orderBy("row").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    cells = head.select(unit, "row", "header_count", F.posexplode(F.zip_with("cells", "_kinds", lambda c, k: F.struct(c.alias("label"), k.alias("kind")))).alias("col", "x"))
+    cells = filled_header(cells.select(unit, "row", "header_count", "col", "x.label", "x.kind"), unit)
     label = F.array_sort(F.collect_list(F.struct("row", "label")))
-    paths = filled_header(head, unit).groupBy(unit, "col").agg(F.transform(label, lambda x: x["label"]).alias("path"))
+    paths = cells.groupBy(unit, "col").agg(F.transform(label, lambda x: x["label"]).alias("path"), F.first("kind").alias("kind"), F.max("header_count").alias("header_count"))
     said = F.filter("path", lambda x: x.isNotNull() & ~x.rlike(C.TABLE_NUMBER))
-    paths = paths.select(unit, "col", said.alias("path"))
+    paths = paths.select(unit, "col", "kind", "header_count", said.alias("path"))
     once = F.filter("path", lambda x, i: (i == 0) | (F.upper(x) != F.upper(F.get("path", i - 1))))
-    paths = paths.select(unit, "col", F.when(F.size("path") > 0, once).otherwise(F.array(F.concat(F.lit("Col_"), (F.col("col") + 1).cast("string")))).alias("path"))
-    joined = paths.join(kinds, [unit, "col"])
+    joined = paths.select(unit, "col", "kind", "header_count", F.when(F.size("path") > 0, once).otherwise(F.array(F.concat(F.lit("Col_"), (F.col("col") + 1).cast("string")))).alias("path"))
     top_label, own = F.get("path", F.lit(0)), F.element_at("path", -1)
     alone = (F.col("kind") == "stub") & (F.upper(top_label) != F.upper(own))
     joined = joined.withColumn("path", F.when(alone, F.slice("path", 1, 1)).otherwise(F.col("path")))
     path = with_lost_codes(joined, unit)
-    name = path.select(unit, "col", F.col("path").alias("header_path"), F.when(F.size("path") > 1, F.element_at("path", -2)).alias("header_group"), F.element_at("path", -1).alias("name"), F.array_join("path", " / ").alias("display"))
+    name = path.select(unit, "col", F.col("path").alias("header_path"), F.when(F.size("path") > 1, F.element_at("path", -2)).alias("header_group"), F.element_at("path", -1).alias("name"), F.array_join("path", " / ").alias("display"), "header_count")
     nth = F.row_number().over(W.partitionBy(unit, "display").orderBy("col"))
     return name.withColumn("unique_name", F.when(nth > 1, F.concat("display", F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(F.col("display")))
 
@@ -160,7 +161,7 @@ def column_paths(top: DataFrame, unit: str) -> DataFrame:
 def with_lost_codes(paths: DataFrame, unit: str) -> DataFrame:
     """paths with the codes 1 to 8, >8, All, 10 and so on below a group that only repeats its label over its columns.
 
-    paths: unit, col, kind and path. Only groups named for what such codes divide get them, in two columns or more.
+    paths: unit, col, kind, path and header_count. Only groups named for what such codes divide get them, in two columns or more.
     """
     along = W.partitionBy(unit).orderBy("col")
     run = F.sum((F.col("kind") != "span").cast("int")).over(along)
@@ -171,11 +172,9 @@ def with_lost_codes(paths: DataFrame, unit: str) -> DataFrame:
     code = F.when(at <= 8, at.cast("string")).when(at == 9, ">8").when(at == 10, "All").otherwise((at - 1).cast("string"))
     same = (F.min(F.upper(label)).over(of_run) == F.max(F.upper(label)).over(of_run)) & (F.max(F.size("path")).over(of_run) == 1)
     lost = same & (F.count(F.lit(1)).over(of_run) >= 2) & (F.max((F.col("kind") == "group").cast("int")).over(of_run) == 1) & named
-    return paths.withColumn("_run", run).select(unit, "col", F.when(lost, F.array(label, code)).otherwise(F.col("path")).alias("path"))
+    return paths.withColumn("_run", run).select(unit, "col", "header_count", F.when(lost, F.array(label, code)).otherwise(F.col("path")).alias("path"))
 
 
 def headers_resolved(rows: DataFrame, unit: str, row: str, cells: str) -> DataFrame:
     """column_paths() of each unit of rows, with header_count. A unit of blank rows only has columns by place."""
-    top = top_rows(rows, unit, row, cells)
-    counts = top.groupBy(unit).agg(F.max("header_count").alias("header_count"))
-    return column_paths(top, unit).join(counts, unit)
+    return column_paths(top_rows(rows, unit, row, cells), unit)
