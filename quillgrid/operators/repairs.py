@@ -93,8 +93,8 @@ def coalesced(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[DataFrame
     each = long_cells(rows, unit).join(unsent(keyed.select(unit, "col", "run")), [unit, "col"])
     differ = each.where("text <> ''").groupBy(unit, "run", "row").agg(F.countDistinct("text").alias("d")).where("d >= 2")
     apart = differ.groupBy(unit, "run").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(unit, "run", F.lit(True).alias("apart"))
-    runs = wide.join(apart, [unit, "run"], "left").select(unit, "run", (F.col("apart").isNotNull() | (F.col("wide") == 1)).alias("alone"), "wide")
-    placed = keyed.join(runs, [unit, "run"]).withColumn("new", F.dense_rank().over(W.partitionBy(unit).orderBy("run", F.when(F.col("alone"), F.col("col")).otherwise(-1))) - 1)
+    runs = wide.join(unsent(apart), [unit, "run"], "left").select(unit, "run", (F.col("apart").isNotNull() | (F.col("wide") == 1)).alias("alone"), "wide")
+    placed = keyed.join(unsent(runs), [unit, "run"]).withColumn("new", F.dense_rank().over(W.partitionBy(unit).orderBy("run", F.when(F.col("alone"), F.col("col")).otherwise(-1))) - 1)
     name = F.when(F.col("alone") | (bare_name(F.col("name")) == ""), F.col("name")).otherwise(bare_name(F.col("name")))
     heads = placed.groupBy(unit, F.col("new").alias("col")).agg(F.min_by(F.struct(name.alias("name"), "path"), "col").alias("x")).select(unit, "col", "x.*")
     pieces = each.drop("run").join(unsent(placed.select(unit, "col", "new")), [unit, "col"]).groupBy(unit, "row", "new").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("p"))
@@ -123,10 +123,10 @@ def without_parents(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[Dat
     named = named.withColumn("run", F.sum(F.when(F.col("under").eqNullSafe(F.lag("under").over(along)), 0).otherwise(1)).over(along))
     families = named.where("under is not null").groupBy(unit, "run", "under").agg(F.min("col").alias("first"), F.max("col").alias("last")).where("last > first")
     heads = named.where("group = '' or group = low").select(unit, F.col("col").alias("head"), "low")
-    families = families.join(heads, unit).where("head = first - 1 and low = under").select(unit, "head", "last")
+    families = families.join(unsent(heads), unit).where("head = first - 1 and low = under").select(unit, "head", "last")
     cells = long_cells(rows, unit)
     filled = cells.where("text <> ''").groupBy(unit, "col").agg(F.count(F.lit(1)).alias("n"))
-    own = families.join(filled.select(unit, F.col("col").alias("head"), F.col("n").alias("n_head")), [unit, "head"], "left").join(filled.select(unit, F.col("col").alias("last"), F.col("n").alias("n_last")), [unit, "last"], "left")
+    own = families.join(unsent(filled.select(unit, F.col("col").alias("head"), F.col("n").alias("n_head"))), [unit, "head"], "left").join(unsent(filled.select(unit, F.col("col").alias("last"), F.col("n").alias("n_last"))), [unit, "last"], "left")
     shifts = own.where("coalesce(n_head, 0) >= 2 and coalesce(n_last, 0) = 0").select(unit, "head", "last")
     over = shifts.groupBy(unit).agg(F.collect_list(F.struct("head", "last")).alias("blocks"))
     inside = F.exists(F.coalesce("blocks", F.array().cast("array<struct<head:int,last:int>>")), lambda b: (F.col("col") >= b["head"]) & (F.col("col") <= b["last"]))
@@ -135,7 +135,7 @@ def without_parents(rows: DataFrame, columns: DataFrame, unit: str) -> tuple[Dat
     moved = moved.where("text <> ''").select(unit, "row", "col", "text")
     used = moved.select(unit, "col").distinct().withColumn("used", F.lit(True))
     groups = named.where("group <> ''").select(unit, F.col("group").alias("low")).distinct().withColumn("is_group", F.lit(True))
-    kept = named.join(used, [unit, "col"], "left").join(groups, [unit, "low"], "left")
+    kept = named.join(unsent(used), [unit, "col"], "left").join(unsent(groups), [unit, "low"], "left")
     kept = kept.withColumn("keep", F.col("used").isNotNull() | F.col("is_group").isNull())
     kept = kept.withColumn("keep", F.col("keep") | ~F.max("keep").over(W.partitionBy(unit))).where("keep")
     kept = kept.withColumn("new", F.row_number().over(along) - 1)

@@ -10,6 +10,7 @@ from quillgrid.functions import cells as C
 from quillgrid.functions import stacks as S
 from quillgrid.operators import headers, repairs, stacked
 from quillgrid.operators.matching import checkpointed
+from quillgrid.session import unsent
 
 # Names of serial columns, and cells that say nothing where shares are looked for.
 SERIAL_NAME = r"(?i)^(?:sl\.?\s*no\.?|s\.?\s*no\.?|serial(?:\s*no\.?)?|#)$"
@@ -24,13 +25,13 @@ def column_facts(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     facts = each.groupBy(unit, "col").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(C.size_of(F.col("text")).isNotNull()).alias("numbers"), F.count(small).alias("whole"), F.min(small).alias("least"), F.max(small).alias("largest"), F.sum(F.length("text")).alias("letters")
     )
-    return facts.join(columns.select(unit, "col", "name"), [unit, "col"])
+    return facts.join(unsent(columns.select(unit, "col", "name")), [unit, "col"])
 
 
 def large_enough(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     """The units of two rows and three columns or more."""
     wide = columns.groupBy(unit).agg(F.count(F.lit(1)).alias("w")).where("w >= 3").select(unit)
-    return rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(unit).join(wide, unit)
+    return rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(unit).join(unsent(wide), unit)
 
 
 def wraps_folded(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
@@ -40,7 +41,7 @@ def wraps_folded(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     no figure. Its other labels join those of the row above. Units without labels before measures stay as they are, as do those of
     fewer than two rows or three columns. Only a row with its candidates behind it is gathered.
     """
-    facts = column_facts(rows, columns, unit).join(large_enough(rows, columns, unit), unit, "left_semi")
+    facts = column_facts(rows, columns, unit).join(unsent(large_enough(rows, columns, unit)), unit, "left_semi")
     serial = F.trim("name").rlike(SERIAL_NAME) | ((F.col("whole") >= F.greatest(F.lit(3), F.floor(0.6 * F.col("n")))) & (F.col("least") >= 1) & (F.col("largest") <= F.col("n") + 5))
     kind = F.when(F.coalesce(serial, F.lit(False)), "serial").when(F.col("numbers") >= F.greatest(F.lit(1), F.floor(0.6 * F.col("n"))), "measure").otherwise("label")
     kinds = facts.withColumn("kind", kind).withColumn("first", F.min(F.when(F.col("kind") == "measure", F.col("col"))).over(W.partitionBy(unit))).where("first is not null")
@@ -51,7 +52,7 @@ def wraps_folded(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
         F.collect_list(F.when(before, F.col("col"))).cast(FLAGS).alias("labels"),
         F.coalesce(F.max_by(F.when(before & (F.col("kind") == "label"), F.col("col")), F.when(before & (F.col("kind") == "label"), F.struct("letters", "n", (-F.col("col")).alias("c")))), F.max(F.when(before, F.col("col")))).alias("own"),
     ).where("size(labels) > 0")
-    held = rows.join(roles, unit, "left").withColumn("cells", F.transform("cells", C.canonical))
+    held = rows.join(unsent(roles), unit, "left").withColumn("cells", F.transform("cells", C.canonical))
 
     def any_of(places: str, test) -> Column:
         return F.exists(F.col(places), lambda i: test(F.coalesce(F.get("cells", i), F.lit(""))))
@@ -82,11 +83,11 @@ def shares_folded(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     A row whose shares fill three quarters of the measures, two or more, is a row of its own, and so is one below a row without
     figures. Units without measures, of fewer than two rows or three columns, stay as they are.
     """
-    facts = column_facts(rows, columns, unit).join(large_enough(rows, columns, unit), unit, "left_semi")
+    facts = column_facts(rows, columns, unit).join(unsent(large_enough(rows, columns, unit)), unit, "left_semi")
     kinds = facts.withColumn("measure", F.col("numbers") >= F.greatest(F.lit(1), F.floor(0.55 * F.col("n"))))
     kinds = kinds.withColumn("first", F.min(F.when(F.col("measure"), F.col("col"))).over(W.partitionBy(unit))).where("first is not null")
     roles = kinds.groupBy(unit).agg(F.collect_list(F.when(F.col("measure"), F.col("col"))).cast(FLAGS).alias("figures"), F.collect_list(F.when(~F.col("measure") & (F.col("col") < F.col("first")), F.col("col"))).cast(FLAGS).alias("stubs"))
-    held = rows.join(roles, unit, "left").withColumn("cells", F.transform("cells", C.canonical))
+    held = rows.join(unsent(roles), unit, "left").withColumn("cells", F.transform("cells", C.canonical))
 
     def count(places: str, test) -> Column:
         return F.coalesce(F.size(F.filter(F.col(places), lambda i: test(F.coalesce(F.get("cells", i), F.lit(""))))), F.lit(0))
@@ -130,8 +131,8 @@ def built(grids: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
     # The row that numbers the columns counts only as long as nothing else has come below the header.
     odd = F.min(F.when((F.col("row") >= F.col("header_count")) & ((F.col("role") != "skipped") | F.col("banner")), F.col("row"))).over(W.partitionBy(unit))
     strips = top.withColumn("odd", odd).where("role = 'skipped' and row >= header_count and not banner and (odd is null or row < odd)").select(unit, "row")
-    gone = top.where("role = 'skipped'").select(unit, "row").join(strips, [unit, "row"], "left_anti")
-    body = spread.join(heads.select(unit, "h"), unit).where("row >= h").join(gone, [unit, "row"], "left_anti").where(F.exists("cells", lambda c: c.isNotNull()))
+    gone = top.where("role = 'skipped'").select(unit, "row").join(unsent(strips), [unit, "row"], "left_anti")
+    body = spread.join(unsent(heads.select(unit, "h")), unit).where("row >= h").join(unsent(gone), [unit, "row"], "left_anti").where(F.exists("cells", lambda c: c.isNotNull()))
     rows, columns = map(checkpointed, repairs.coalesced(checkpointed(body.select(unit, "row", "cells")), checkpointed(columns), unit))
     rows, columns = map(checkpointed, repairs.without_parents(rows, columns, unit))
     return shares_folded(checkpointed(wraps_folded(rows, columns, unit)), columns, unit), columns
