@@ -1,14 +1,18 @@
 """Merged cells of table bodies: inferred from blank cells, written out as spans, and taken back.
 
 A body is rows of a unit: row (from 0 without gaps) and cells, an array of text; columns is one array of names for each unit. Each
-blank cell below a text belongs to one run, by a window along its column; where a run ends is a fact of single rows, so spans
-come from joins and aggregates and no cell is walked twice.
+blank cell below a text belongs to one run; what columns hold and what a row says come from joins and aggregates, and where the
+runs of a unit end and what merges hide are told unit by unit within tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Dashes that stand for a blank cell.
@@ -55,11 +59,40 @@ def column_roles(body: DataFrame, unit: str) -> DataFrame:
     return found.groupBy(unit).agg(roles.alias("r"), F.max("last").alias("last_row")).select(unit, *(F.col(f"r.{k}").alias(k) for k in ("label", "sparse", "dense", "open")), "last_row")
 
 
-def run_from(fits: Column, at: Column) -> Column:
-    """How many entries of an array of booleans are true in a row from a place on."""
-    rest = F.slice(fits, at + 1, F.size(fits))
-    first_no = F.array_position(rest, False)
-    return F.when(first_no > 0, first_no - 1).otherwise(F.size(rest))
+def run_from(fits: list[bool], at: int) -> int:
+    """How many entries are true in a row from a place on."""
+    end = at
+    while end < len(fits) and fits[end]:
+        end += 1
+    return max(0, end - at)
+
+
+def runs_of(body: list[dict], label: list[bool], sparse: list[bool], dense: list[bool], opened: list[bool]) -> Iterator[tuple[int, int, int, int]]:
+    """row, col, row_span and col_span of the merged cells of one unit; body: its rows in order, each with row, low (texts, none where blank), sums (which of them sum up), first_label, foot and section."""
+    lows, figure = [r["low"] for r in body], [not x for x in label]
+    telling = [(c, sparse[c]) for c in range(len(label)) if sparse[c] or dense[c]]
+
+    def breaks(i: int, start: int, col: int) -> bool:
+        if body[i]["foot"] or (body[i]["first_label"] is not None and body[i]["first_label"] < col):
+            return True
+        now, was = lows[i], lows[start]
+        return any(c != col and now[c] is not None and now[c] != was[c] and (gaps or body[i]["sums"][c] or body[start]["sums"][c]) for c, gaps in telling)
+
+    def beside(i: int, col: int, fits: list[bool]) -> int:
+        return run_from([v is None and x for v, x in zip(lows[i], fits)], col)
+
+    for col in (c for c in range(len(label)) if label[c] or opened[c]):
+        begun = [i for i, low in enumerate(lows) if low[col] is not None]
+        for start, end in zip(begun, [*begun[1:], len(body)]):
+            stop = next((i for i in range(start + 1, end) if breaks(i, start, col)), end) if label[col] else end
+            wide = 1
+            if label[col]:
+                if not body[start]["first_label"] < col:
+                    wide += min(beside(i, col + 1, label) for i in range(start, stop))
+                if stop - start == 1 and body[start]["section"]:
+                    wide += beside(start, col + wide, figure)
+            if stop - start > 1 or wide > 1:
+                yield body[start]["row"], col, stop - start, wide
 
 
 def inferred(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
@@ -80,64 +113,68 @@ def inferred(rows: DataFrame, columns: DataFrame, unit: str) -> DataFrame:
     no_figures = F.exists("label", lambda x: ~x) & F.forall(F.zip_with("said", "label", lambda v, is_label: is_label | v.isNull()), lambda x: x)
     wordy = F.exists(F.zip_with("said", "label", lambda v, is_label: is_label & v.isNotNull() & ~F.coalesce(is_plain_figure(v), F.lit(False))), lambda x: x)
     whole = whole.withColumns({"foot": sums & (F.col("row") == F.col("last_row")), "section": no_figures & wordy})
-    whole = whole.withColumn("free_label", F.zip_with("said", "label", lambda v, is_label: is_label & v.isNull())).withColumn("free_figure", F.zip_with("said", "label", lambda v, is_label: ~is_label & v.isNull()))
-
-    along = W.partitionBy(unit, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    each = whole.select(unit, "row", "sparse", "dense", "first_label", "foot", "section", "free_label", "free_figure", "said", F.posexplode(F.zip_with("label", "open", lambda a, b: F.struct(a.alias("is_label"), b.alias("is_open")))).alias("col", "kind"))
-    each = each.where("kind.is_label or kind.is_open").withColumn("text", F.get("said", F.col("col")))
-    each = each.withColumn("begun", F.last(F.when(F.col("text").isNotNull(), F.struct("row", F.col("said").alias("was"))), ignorenulls=True).over(along)).where("begun is not null")
-    each = each.withColumns({"start": F.col("begun.row"), "was": F.col("begun.was")})
-    places = F.sequence(F.lit(0), F.size("said") - 1)
-
-    def changed(c: Column) -> Column:
-        now, then = F.get("said", c), F.get("was", c)
-        other = then.isNull() | (F.lower(then) != F.lower(now))
-        return (c != F.col("col")) & now.isNotNull() & ((F.get("sparse", c) & other) | (F.get("dense", c) & other & (is_sum(now) | (then.isNotNull() & is_sum(then)))))
-
-    breaks = F.col("kind.is_label") & (F.col("row") > F.col("start")) & (F.coalesce(F.col("first_label") < F.col("col"), F.lit(False)) | F.col("foot") | F.exists(places, changed))
-    each = each.withColumn("break_row", F.when(breaks, F.col("row"))).drop("begun", "was", "sparse", "dense", "foot")
-    # A run's rows up to its first break; a break of a run before lies above the start.
-    inside = F.coalesce(F.max("break_row").over(along) <= F.col("start"), F.lit(True))
-    each = each.withColumn("inside", inside)
-    at_start = F.col("row") == F.col("start")
-    beside = F.when(at_start & (F.col("first_label") < F.col("col")), 0).otherwise(run_from(F.col("free_label"), F.col("col") + 1))
-    spans = each.groupBy(unit, "col", "start").agg(
-        F.first("kind.is_label").alias("is_label"),
-        F.coalesce(F.min("break_row"), F.max("row") + 1).alias("stop"),
-        (1 + F.min(F.when(F.col("inside") & F.col("kind.is_label"), beside))).alias("wide"),
-        F.max(F.when(at_start & F.col("section"), F.col("free_figure"))).alias("figures"),
-    )
-    high = F.col("stop") - F.col("start")
-    on = F.when((high == 1) & F.col("figures").isNotNull(), run_from(F.col("figures"), F.col("col") + F.col("wide"))).otherwise(0)
-    wide = F.when(F.col("is_label"), F.col("wide") + on).otherwise(1)
-    found = spans.select(unit, F.col("start").alias("row"), "col", high.cast("int").alias("row_span"), wide.cast("int").alias("col_span"))
-    return found.where("row_span > 1 or col_span > 1")
+    low, sum_of = F.transform("said", lambda v: F.lower(v)), F.transform("said", is_sum)
+    each = F.struct("row", low.alias("low"), sum_of.alias("sums"), F.col("first_label").cast("int").alias("first_label"), "foot", "section")
+    kinds = ("label", "sparse", "dense", "open")
+    bodies = whole.groupBy(unit).agg(F.array_sort(F.collect_list(each)).alias("body"), *(F.first(c).alias(c) for c in kinds))
+    like = rows.select(unit, "row", *(F.lit(0).alias(c) for c in ("col", "row_span", "col_span"))).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *m) for i, told in enumerate(zip(*(batch.column(c).to_pylist() for c in ("body", *kinds)))) for m in runs_of(*told)]
+            units, *rest = zip(*found) if found else [()] * 5
+            types = (batch.schema.field("body").type.value_type.field("row").type, pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(unit).take(pa.array(units, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, types))], [unit, "row", "col", "row_span", "col_span"])
+
+    return bodies.mapInArrow(run, like)
+
 
+def laid_over(n_rows: int, n_cols: int, merges: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, col, row_span and col_span of what is visible of a grid under merges (the same four) in their order, of which one that begins in a cell of an accepted one doesn't count."""
+    claimed, hidden = np.zeros((n_rows, n_cols), bool), np.zeros((n_rows, n_cols), bool)
+    high, wide = np.ones((n_rows, n_cols), np.int32), np.ones((n_rows, n_cols), np.int32)
+    for row, col, h, w in merges:
+        if not claimed[row, col]:
+            first = hidden[row, col]
+            claimed[row : row + h, col : col + w] = hidden[row : row + h, col : col + w] = True
+            hidden[row, col], high[row, col], wide[row, col] = first, h, w
+    rows, cols = np.nonzero(~hidden)
+    return rows, cols, high[rows, cols], wide[rows, cols]
 
-def accepted(merges: Column) -> Column:
-    """Those of an ordered array of merges whose first cell no earlier accepted one covers."""
-    def covers(a: Column, row: Column, col: Column) -> Column:
-        return row.between(a["row"], a["row"] + a["row_span"] - 1) & col.between(a["col"], a["col"] + a["col_span"] - 1)
 
-    return F.aggregate(merges, F.slice(merges, 1, 0), lambda kept, m: F.when(F.exists(kept, lambda a: covers(a, m["row"], m["col"])), kept).otherwise(F.concat(kept, F.array(m))))
+#: Visible cells that are given back at once.
+CELLS = 1 << 18
 
 
 def cell_spans(merges: DataFrame, sizes: DataFrame, unit: str) -> DataFrame:
     """unit, row, col, row_span and col_span of each visible cell; cells that a merge covers have no row.
 
-    merges: unit, ord, row, col, row_span and col_span (below one count as one); sizes: unit, n_rows and n_cols. Of merges that
-    overlap the one with the lower ord comes first: a merge that begins in a covered cell doesn't count. Merges that begin
-    outside are left out, and cells outside are none.
+    merges: unit, ord, row, col, row_span and col_span (below one count as one); sizes: unit (each once), n_rows and n_cols. Of
+    merges that overlap the one with the lower ord comes first: a merge that begins in a covered cell doesn't count. Merges that
+    begin outside are left out, and cells outside are none. A unit's merges meet its size once, and its grid is laid out in a task.
     """
-    fit = merges.join(sizes, unit).where("row >= 0 and col >= 0 and row < n_rows and col < n_cols")
-    fit = fit.select(unit, F.struct("ord", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.greatest(F.lit(1), F.coalesce(F.col("row_span").cast("int"), F.lit(1))).alias("row_span"), F.greatest(F.lit(1), F.coalesce(F.col("col_span").cast("int"), F.lit(1))).alias("col_span")).alias("m"))
-    kept = fit.groupBy(unit).agg(F.array_sort(F.collect_list("m")).alias("all")).select(unit, F.explode(accepted(F.col("all"))).alias("m")).select(unit, "m.*")
-    down = kept.select(unit, "row", "col", "row_span", "col_span", F.explode(F.sequence(F.lit(0), F.col("row_span") - 1)).alias("dr"))
-    covered = down.select(unit, "row", "col", "dr", F.explode(F.sequence(F.lit(0), F.col("col_span") - 1)).alias("dc")).where("dr + dc > 0").select(unit, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).distinct()
-    grid = sizes.where("n_rows > 0 and n_cols > 0").select(unit, "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows").cast("int") - 1)).alias("row"))
-    grid = grid.select(unit, "row", F.explode(F.sequence(F.lit(0), F.col("n_cols").cast("int") - 1)).alias("col"))
-    seen = grid.join(covered, [unit, "row", "col"], "left_anti").join(kept.drop("ord"), [unit, "row", "col"], "left")
-    return seen.select(unit, "row", "col", F.coalesce("row_span", F.lit(1)).alias("row_span"), F.coalesce("col_span", F.lit(1)).alias("col_span"))
+    merges = merges.where("row >= 0 and col >= 0")
+    names = ("row", "col", "row_span", "col_span")
+    each = F.struct("ord", *(F.greatest(F.lit(1), F.coalesce(F.col(c).cast("int"), F.lit(1))).alias(c) if c.endswith("span") else F.col(c).cast("int").alias(c) for c in names))
+    all_of = merges.groupBy(unit).agg(F.array_sort(F.collect_list(each)).alias("merges"))
+    fields = (F.col(f"merges.{c}").alias(c) for c in names)
+    grids = sizes.where("n_rows > 0 and n_cols > 0").select(unit, F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols")).join(all_of, unit, "left").select(unit, "n_rows", "n_cols", *fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, found, cells = [], [], 0
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("row")), 0).to_numpy(zero_copy_only=False)).tolist()
+            flat = list(zip(*(batch.column(c).flatten().to_pylist() for c in names)))
+            for i, (n_rows, n_cols) in enumerate(zip(batch.column("n_rows").to_pylist(), batch.column("n_cols").to_pylist())):
+                inside = [m for m in flat[ends[i - 1] if i else 0 : ends[i]] if m[0] < n_rows and m[1] < n_cols]
+                found.append(laid_over(n_rows, n_cols, inside))
+                units.append(np.full(len(found[-1][0]), i))
+                cells += len(units[-1])
+                if cells >= CELLS or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(unit).take(pa.array(np.concatenate(units))), *(pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*found))], [unit, *names])
+                    units, found, cells = [], [], 0
+
+    return grids.mapInArrow(run, grids.select(unit, *(F.lit(0).alias(c) for c in names)).schema)
 
 
 def merges_of(spans: DataFrame) -> DataFrame:
